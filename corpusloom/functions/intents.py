@@ -113,12 +113,9 @@ def eligibility_subject(col: Column) -> Column:
     """Subject of the first pattern that matches and names more than a generic noun."""
     t = F.regexp_replace(F.trim(col), r"[?!.]+$", "")
     generic = "the a an approval approver role authority entity position person".split()
-    options = []
-    for pattern in V.ELIGIBILITY_SUBJECT_PATTERNS:
-        hit = F.regexp_extract(t, "(?i)" + pattern, 1)
-        hit = F.trim(F.regexp_replace(F.trim(hit), r"(?i)^(the|a|an)\s+", ""))
-        options.append(F.when((hit != "") & ~F.lower(hit).isin(generic), hit))
-    return F.coalesce(*options)
+    hits = F.array(*[F.regexp_extract(t, "(?i)" + p, 1) for p in V.ELIGIBILITY_SUBJECT_PATTERNS])
+    named = F.transform(hits, lambda h: F.trim(F.regexp_replace(F.trim(h), r"(?i)^(the|a|an)\s+", "")))
+    return F.get(F.filter(named, lambda h: (h != "") & ~F.lower(h).isin(generic)), F.lit(0))
 
 
 def relationship_topic(col: Column) -> Column:
@@ -151,8 +148,9 @@ def claim_terms(col: Column) -> Column:
     """Evidence phrasings of a yes/no question (claim, evidence, statement)."""
     t = F.regexp_replace(F.trim(col), r"[?!.]+$", "")
     claim = F.trim(F.regexp_extract(t, rf"(?i)^(?:{V.CLAIM_AUXILIARIES})\s+(.+)$", 1))
-    terms = F.array(claim, F.concat(F.lit("evidence "), claim), F.concat(F.lit("statement "), claim))
-    return F.when(claim != "", terms).otherwise(F.array().cast("array<string>"))
+    claims = F.filter(F.array(claim), lambda c: c != "")
+    forms = lambda c: F.array(c, F.concat(F.lit("evidence "), c), F.concat(F.lit("statement "), c))
+    return F.flatten(F.transform(claims, forms))
 
 
 def distinct_ci(items: Column) -> Column:
@@ -199,10 +197,11 @@ def enrich_queries(df: DataFrame, question: str, out: str) -> DataFrame:
     def block(words: Sequence[str], terms: Sequence[str]) -> Column:
         return F.when(_any_substring(low, words), F.array(*[F.lit(t) for t in terms])).otherwise(none)
 
+    st = st.withColumn("_main", main)
     st = st.withColumn(
         "_extra",
         F.concat(
-            main,
+            F.col("_main"),
             block(V.PROCESS_KEYWORDS, V.PROCESS_TERMS),
             block(V.POLICY_KEYWORDS, V.POLICY_TERMS),
             block(V.CONFIGURATION_KEYWORDS, V.CONFIGURATION_TERMS),

@@ -127,3 +127,20 @@ def salted_join(
 def two_level_count(df: DataFrame, keys: Sequence[str], distinct: Sequence[str], out: str) -> DataFrame:
     """``count(distinct ...)`` per key as two aggregations, so a hot key is never one task's set."""
     return df.select(*keys, *distinct).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+
+
+BROADCAST_ROWS = 200_000
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """True when a bounded count proves that ``df`` has at most ``rows`` rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def join_lookup(
+    big: DataFrame, lookup: DataFrame, on: Sequence[str], salt_by: Sequence[str], small: bool, how: str = "inner"
+) -> DataFrame:
+    """Join with a lookup side: broadcast when its size was checked, salted shuffle join otherwise."""
+    if small:
+        return big.join(F.broadcast(lookup), [*on], how)
+    return salted_join(big, lookup, on, salt_by, how)
