@@ -189,9 +189,13 @@ def padded(normalized: Column) -> Column:
     return F.concat(F.lit(" "), normalized, F.lit(" "))
 
 
+def _phrases(phrases: Sequence[str]) -> Column:
+    return F.array(*[F.lit(f" {p} ") for p in phrases])
+
+
 def phrase_hits(pad: Column, phrases: Sequence[str]) -> Column:
-    """How many of the phrases occur; one codegen-friendly sum of ``contains`` tests."""
-    return reduce(lambda a, b: a + b, [pad.contains(f" {p} ").cast("int") for p in phrases]).cast("bigint")
+    """How many of the phrases occur."""
+    return F.size(F.filter(_phrases(phrases), lambda p: pad.contains(p))).cast("bigint")
 
 
 def any_phrase(pad: Column, phrases: Sequence[str]) -> Column:
@@ -199,7 +203,8 @@ def any_phrase(pad: Column, phrases: Sequence[str]) -> Column:
 
 
 def phrase_weight(pad: Column, weights: dict[str, float]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(pad.contains(f" {p} "), w).otherwise(0.0) for p, w in weights.items()])
+    pairs = F.array(*[F.struct(F.lit(f" {p} ").alias("p"), F.lit(float(w)).alias("w")) for p, w in weights.items()])
+    return F.aggregate(F.filter(pairs, lambda x: pad.contains(x["p"])), F.lit(0.0), lambda acc, x: acc + x["w"])
 
 
 def reference_noise(col: ColumnOrName, pad: Column | None = None) -> Column:

@@ -17,19 +17,22 @@ from corpusloom.functions import intents as I
 from corpusloom.functions import text as T
 from corpusloom.functions import vocab as V
 from corpusloom.operators import lexical as L
-from corpusloom.operators.scale import fits, top_k_per
+from corpusloom.operators.scale import fence, fits, top_k_per
 
-PER_QUERY = Window.partitionBy("query_id")
+
+def per_query() -> Window:
+    """Window over the few candidates of one query."""
+    return Window.partitionBy("query_id")
 
 
 def rerank(pool: DataFrame, *order: Column, rank: str = "rank") -> DataFrame:
-    return pool.withColumn(rank, F.row_number().over(PER_QUERY.orderBy(*order)))
+    return pool.withColumn(rank, F.row_number().over(per_query().orderBy(*order)))
 
 
 def hybrid_merge(vector: DataFrame, lexical: DataFrame) -> DataFrame:
     """Weighted merge of two channels; the lexical score is scaled by the query's own best."""
     v = vector.select("query_id", "chunk_key", F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
-    top = F.max("score").over(PER_QUERY)
+    top = F.max("score").over(per_query())
     b = lexical.select(
         "query_id", "chunk_key", F.col("score").alias("bm25_score"), F.col("rank").alias("bm25_rank"),
         F.when(top > 0, F.col("score") / top).otherwise(F.col("score")).alias("bm25_norm"),
@@ -56,20 +59,40 @@ def rrf_fuse(results: DataFrame, k: int = V.RRF_K) -> DataFrame:
     )
     sets = results.groupBy("query_id").agg(F.countDistinct("variant").alias("n_sets"))
     g = g.join(sets, "query_id")
-    norm = F.col("rrf") / F.max("rrf").over(PER_QUERY)
+    norm = F.col("rrf") / F.max("rrf").over(per_query())
     g = g.withColumn("score", F.when(F.col("n_sets") > 1, norm).otherwise(F.col("best_score")))
     return rerank(
         g.drop("n_sets"), F.round("rrf", 9).desc(), F.col("hits").desc(), F.round("best_score", 9).desc(), F.col("chunk_key").asc()
     )
 
 
+def query_features(queries: DataFrame) -> DataFrame:
+    """Everything a pool needs to know about its question, computed once per question."""
+    f = I.retrieval_intents(F.col("query"))
+    return queries.select(
+        "query_id",
+        "query",
+        T.normalize_text("query").alias("nq"),
+        T.query_topic_tokens("query").alias("topic_toks"),
+        T.meaningful_tokens("query").alias("query_tokens"),
+        f["short_query"].alias("short_query"),
+        f["list_query"].alias("list_query"),
+        f["compound_query"].alias("compound_query"),
+        f["identity_query"].alias("is_identity"),
+        f["reference_request"].alias("ref_asked"),
+    )
+
+
 def with_text(pool: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Joins texts back to a pool; the pool is broadcast when the query table proves it small."""
-    p = pool.join(queries.select("query_id", "query"), "query_id")
+    """Joins texts and question features to a pool, co-located by question.
+
+    The pool (ids and scores only) is broadcast to the chunk scan when the query table
+    proves it small, so the corpus is not shuffled; only matched texts are.
+    """
     cols = [c for c in ("text", "file_key", "file_name", "chunk_id", "total_chunks") if c in chunks.columns]
-    if fits(queries, 10_000):
-        p = F.broadcast(p)
-    return chunks.select("chunk_key", *cols).join(p, "chunk_key")
+    small = fits(queries, 10_000)
+    t = chunks.select("chunk_key", *cols).join(F.broadcast(pool) if small else pool, "chunk_key")
+    return t.repartition("query_id").join(query_features(queries), "query_id")
 
 
 # ---- scores -------------------------------------------------------------------------------------
@@ -120,8 +143,8 @@ def strong_intro_score(nq: Column, nt: Column, n_words: Column, n_sentences: Col
 
 def with_features(pool: DataFrame) -> DataFrame:
     """Evidence columns of a text pool, each computed once."""
-    p = pool.withColumns({"nt": T.normalize_text("text"), "nq": T.normalize_text("query")})
-    p = p.withColumns({"pad_t": T.padded(F.col("nt")), "pad_q": T.padded(F.col("nq"))})
+    p = pool.withColumn("nt", T.normalize_text("text"))
+    p = p.withColumn("pad_t", T.padded(F.col("nt")))
     p = p.withColumns(
         {
             "n_words": T.word_count("text"),
@@ -131,10 +154,7 @@ def with_features(pool: DataFrame) -> DataFrame:
             "id_noise": T.identity_noise(F.col("pad_t")),
             "has_def": T.has_definition(F.col("pad_t")),
             "is_ref": T.is_reference_section("text"),
-            "is_identity": T.any_phrase(F.col("pad_q"), V.IDENTITY_QUERY_TERMS),
-            "ref_asked": T.any_phrase(F.col("pad_q"), V.REFERENCE_REQUEST_TERMS),
             "match": query_match_score(F.col("nq"), F.col("nt")),
-            "topic_toks": T.query_topic_tokens("query"),
             "file_toks": T.file_topic_tokens("file_name"),
             "intro": intro_score(F.col("nq"), F.col("nt")),
         }
@@ -162,7 +182,7 @@ def with_features(pool: DataFrame) -> DataFrame:
         | ((F.col("n_words") < 60) & (F.col("n_sentences") == 0) & plain)
     )
     p = p.withColumns({"unasked_ref": unasked_ref, "low_value": low})
-    return p.withColumn("info_score", information_score())
+    return fence(p.withColumn("info_score", information_score()), "query_id")
 
 
 def information_score() -> Column:
@@ -184,13 +204,13 @@ def information_score() -> Column:
 
 def informative_order(pool: DataFrame) -> DataFrame:
     """Re-ranks a feature pool by information score, prior rank on ties."""
-    return rerank(pool.withColumnRenamed("rank", "prior_rank"), *L.score_order("info_score", "prior_rank"))
+    return rerank(pool.drop("prior_rank").withColumnRenamed("rank", "prior_rank"), *L.score_order("info_score", "prior_rank"))
 
 
 def low_value_filter(pool: DataFrame) -> DataFrame:
     """Drops low-value chunks; a query that would lose everything keeps all (identity: nothing)."""
     keep = ~F.col("unasked_ref") & ~F.col("low_value")
-    any_kept = F.max(keep.cast("int")).over(PER_QUERY) == 1
+    any_kept = F.max(keep.cast("int")).over(per_query()) == 1
     return pool.withColumn("keep", keep).withColumn("any_kept", any_kept).where(
         F.col("keep") | (~F.col("any_kept") & ~F.col("is_identity"))
     ).drop("keep", "any_kept")
@@ -228,7 +248,7 @@ def relationship_score(pool: DataFrame) -> DataFrame:
         - F.when(~words & ~section, 1.0).otherwise(0.0)
     )
     out = pool.withColumn("relation_score", s)
-    out = out.withColumn("best", F.max("relation_score").over(PER_QUERY))
+    out = out.withColumn("best", F.max("relation_score").over(per_query()))
     return out.where((F.col("relation_score") > -0.5) | (F.col("best") <= -0.5)).drop("best")
 
 
@@ -254,8 +274,8 @@ def candidate_depth(queries: DataFrame) -> DataFrame:
 
 def top_source_focus(pool: DataFrame) -> DataFrame:
     """Short questions keep only the file of their best chunk."""
-    short = F.size(F.split(F.trim("query"), r"\s+")) <= 5
-    first = F.first("file_key").over(PER_QUERY.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    short = F.col("short_query")
+    first = F.first("file_key").over(per_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return pool.withColumn("top_file", first).where(~short | (F.col("file_key") == F.col("top_file"))).drop("top_file")
 
 
@@ -320,9 +340,12 @@ def diversity_cap(pool: DataFrame, cap: Column, pinned: Column | None = None) ->
     return pool.withColumn("file_pos", pos).where(keep if pinned is None else keep | pinned)
 
 
-def per_file_cap(query: Column) -> Column:
-    f = I.retrieval_intents(query)
-    return F.when(f["short_query"] | f["compound_query"], V.FINAL_TOP_K).when(f["list_query"], V.COMPLETENESS_TOP_K).otherwise(2)
+def per_file_cap() -> Column:
+    return (
+        F.when(F.col("short_query") | F.col("compound_query"), V.FINAL_TOP_K)
+        .when(F.col("list_query"), V.COMPLETENESS_TOP_K)
+        .otherwise(2)
+    )
 
 
 def neighbor_expand(pool: DataFrame, chunks: DataFrame, seeds: int = 2, before: int = 1, after: int = 1, decay: float = 0.95) -> DataFrame:
@@ -363,9 +386,8 @@ def compact_context(pool: DataFrame, total: int = 4800, each: int = 2200, head:
     The window start is chosen among the token positions of the normalised text; a running
     sum over the ranked rows of a query enforces the total budget.
     """
-    toks = T.query_topic_tokens("query")
     size = each - head
-    p = pool.withColumns({"nt": T.normalize_text("text"), "toks": toks})
+    p = pool.withColumns({"nt": T.normalize_text("text"), "toks": F.col("topic_toks")})
     p = p.withColumn("starts", F.array_distinct(F.filter(F.transform("toks", lambda t: F.instr(F.col("nt"), t)), lambda i: i > head)))
 
     def density(start: Column) -> Column:
@@ -380,7 +402,7 @@ def compact_context(pool: DataFrame, total: int = 4800, each: int = 2200, head:
     )
     p = p.withColumn("excerpt", excerpt).drop("nt", "toks", "starts")
     before = F.coalesce(
-        F.sum(F.length("excerpt")).over(PER_QUERY.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        F.sum(F.length("excerpt")).over(per_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     p = p.withColumn("room", total - before).where(F.col("room") > 0)
     return p.withColumn("excerpt", F.substring(F.col("excerpt"), F.lit(1), F.col("room").cast("int"))).drop("room")
@@ -415,9 +437,7 @@ def definition_strength(target: Column, nt: Column, raw: Column) -> Column:
 
 def identity_fast_path(pool: DataFrame) -> DataFrame:
     """Single best chunk per identity question whose own source and introduction name the subject."""
-    p = pool.where(F.col("is_identity") & ~F.col("unasked_ref") & (F.col("id_noise") < 4))
-    f = I.retrieval_intents(F.col("query"))
-    p = p.where(~f["compound_query"] & ~f["list_query"])
+    p = pool.where("is_identity AND NOT unasked_ref AND id_noise < 4 AND NOT compound_query AND NOT list_query")
     p = p.withColumn("target_toks", F.slice("topic_toks", 1, 8)).withColumn("target", F.array_join("target_toks", " "))
     head = F.substring("nt", 1, 1000)
     in_file = F.filter(F.array_intersect("file_toks", "target_toks"), lambda t: head.contains(t))
@@ -429,7 +449,7 @@ def identity_fast_path(pool: DataFrame) -> DataFrame:
             "file_cov": F.size(in_file) / F.size("file_toks"),
         }
     )
-    p = p.where("source_score >= 2.0 AND file_cov >= 0.80 AND definition >= 2.0 AND target_match >= 0.25")
+    p = fence(p, "query_id").where("source_score >= 2.0 AND file_cov >= 0.80 AND definition >= 2.0 AND target_match >= 0.25")
     p = p.withColumn("safety", F.col("source_score") + F.col("definition") + F.col("target_match"))
     order = [F.col("definition").desc(), F.round("safety", 9).desc(), F.round("score", 9).desc(), F.col("rank").asc()]
     return top_k_per(p, ["query_id"], order, 1, "pick")
@@ -475,16 +495,18 @@ def relation_evidence(kind: Column, anchors: Column, nt: Column) -> Column:
 
 def relation_fast_path(pool: DataFrame) -> DataFrame:
     """Best proven chunk per direct-fact question; near ties between two files give nothing."""
-    f = I.retrieval_intents(F.col("query"))
-    p = pool.where(~F.col("is_identity") & ~f["list_query"] & ~f["compound_query"] & ~F.lower("query").rlike(V.RULE_REFERENCE))
-    p = p.withColumn("kind", I.direct_relation_kind(F.col("query"))).where("kind <> '' AND NOT unasked_ref")
+    best = F.max("bm25_score").over(per_query())
+    p = pool.withColumn("best", F.when(best > 0, best).otherwise(1.0))
+    p = p.where("NOT is_identity AND NOT list_query AND NOT compound_query AND NOT unasked_ref")
+    p = p.where(~F.lower("query").rlike(V.RULE_REFERENCE))
+    p = p.withColumn("kind", I.direct_relation_kind(F.col("query")))
     p = p.withColumn("anchors", I.relation_anchors(F.col("query"), F.col("kind")))
-    p = p.withColumn("local", relation_evidence(F.col("kind"), F.col("anchors"), F.col("nt"))).where("local > 0")
-    best = F.max("bm25_score").over(PER_QUERY)
-    norm = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("bm25_score") / F.when(best > 0, best).otherwise(1.0)))
+    p = p.withColumn("local", relation_evidence(F.col("kind"), F.col("anchors"), F.col("nt")))
+    p = fence(p, "query_id").where("kind <> '' AND local > 0")
+    norm = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("bm25_score") / F.col("best")))
     p = p.withColumn("safety", F.col("local") + F.col("topic") + F.col("match") + F.coalesce(norm, F.lit(0.0)))
     p = top_k_per(p.where("safety >= 7.0"), ["query_id"], [F.round("safety", 9).desc(), F.col("rank").asc()], 2, "pick")
-    w = PER_QUERY.orderBy("pick")
+    w = per_query().orderBy("pick")
     p = p.withColumns({"next_file": F.lead("file_key").over(w), "next_safety": F.lead("safety").over(w)})
     clash = (F.col("next_file") != F.col("file_key")) & (F.col("safety") - F.col("next_safety") < 0.75)
     return p.where((F.col("pick") == 1) & ~F.coalesce(clash, F.lit(False)))
@@ -523,9 +545,10 @@ def empty_rescue(queries: DataFrame, answered: DataFrame, chunks: DataFrame, k:
     p = with_text(cov.select("query_id", "chunk_key", "score", "rank"), chunks, open_q)
     p = with_features(p).where(~F.col("unasked_ref") & (F.col("noise") < 5))
     p = top_k_per(p, ["query_id"], [F.col("rank").asc()], 10, "r10").drop("r10")
-    ok = confidence_gate(rescore_pairs(p.select("query_id", "chunk_key", "query", "text", "file_key", "rank")))
+    cols = ["query_id", "chunk_key", "query", "query_tokens", "text", "file_key", "rank"]
+    ok = confidence_gate(rescore_pairs(p.select(*cols, "short_query", "list_query", "compound_query")))
     ok = rerank(ok.drop("prior_rank").withColumnRenamed("rank", "p"), F.col("p").asc())
-    d = diversity_cap(ok, per_file_cap(F.col("query")))
+    d = diversity_cap(ok, per_file_cap())
     return top_k_per(d, ["query_id"], [F.col("rank").asc()], k, "pos")
 
 

@@ -144,3 +144,18 @@ def join_lookup(
     if small:
         return big.join(F.broadcast(lookup), [*on], how)
     return salted_join(big, lookup, on, salt_by, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Gives a scan with fewer splits than cores one split per core; larger inputs are untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fence(df: DataFrame, key: str) -> DataFrame:
+    """Stops later filters from being pushed below, and so re-evaluating, expensive columns.
+
+    ``key`` must have few rows per value (candidates of one query).
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    return df.withColumn("__fence", n).where("__fence > 0").drop("__fence")

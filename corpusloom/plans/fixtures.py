@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.scale import block_row_number
+from corpusloom.operators.scale import block_row_number, spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk table without positions: ``chunk_key, file_key, lang, text``; chunk_key is the corpus order."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("chunk_key"), F.col("source").alias("file_key"), "lang", "text"
     )
 
