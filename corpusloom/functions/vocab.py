@@ -450,4 +450,5 @@ FINAL_TOP_K, COMPLETENESS_TOP_K = 3, 6
 MIN_RETRIEVAL_SCORE, NEAR_THRESHOLD = 0.55, 0.49
 COVERAGE_TOP_K, COVERAGE_MIN_SCORE = 12, 0.34
 MAX_VARIANTS, MAX_VARIANT_CHARS = 2, 400
+RESCORE_CHARS, PREVIEW_CHARS, TRACE_CHARS = 3000, 700, 240
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_DOCUMENT_CHARS = 900, 150, 50

@@ -83,15 +83,25 @@ def query_features(queries: DataFrame) -> DataFrame:
     )
 
 
-def with_text(pool: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def _chunk_side(pool: DataFrame, chunks: DataFrame, small: bool) -> DataFrame:
+    """The chunks a pool needs, so that text features are computed once per chunk, not per pair."""
+    keys = pool.select("chunk_key").distinct()
+    cols = [c for c in ("text", "file_key", "file_name", "chunk_id", "total_chunks") if c in chunks.columns]
+    t = chunks.select("chunk_key", *cols).join(F.broadcast(keys) if small else keys, "chunk_key", "left_semi")
+    return t.withColumn("text_tokens", T.meaningful_tokens(F.substring("text", 1, V.RESCORE_CHARS)))
+
+
+def with_text(pool: DataFrame, chunks: DataFrame, queries: DataFrame, features: bool = False) -> DataFrame:
     """Joins texts and question features to a pool, co-located by question.
 
     The pool (ids and scores only) is broadcast to the chunk scan when the query table
     proves it small, so the corpus is not shuffled; only matched texts are.
     """
-    cols = [c for c in ("text", "file_key", "file_name", "chunk_id", "total_chunks") if c in chunks.columns]
     small = fits(queries, 10_000)
-    t = chunks.select("chunk_key", *cols).join(F.broadcast(pool) if small else pool, "chunk_key")
+    t = _chunk_side(pool, chunks, small)
+    if features:
+        t = chunk_features(t)
+    t = t.join(F.broadcast(pool) if small else pool, "chunk_key")
     return t.repartition("query_id").join(query_features(queries), "query_id")
 
 
@@ -141,11 +151,11 @@ def strong_intro_score(nq: Column, nt: Column, n_words: Column, n_sentences: Col
     )
 
 
-def with_features(pool: DataFrame) -> DataFrame:
-    """Evidence columns of a text pool, each computed once."""
-    p = pool.withColumn("nt", T.normalize_text("text"))
-    p = p.withColumn("pad_t", T.padded(F.col("nt")))
-    p = p.withColumns(
+def chunk_features(chunks: DataFrame) -> DataFrame:
+    """Evidence that depends on the chunk alone."""
+    c = chunks.withColumn("nt", T.normalize_text("text"))
+    c = c.withColumn("pad_t", T.padded(F.col("nt")))
+    return c.withColumns(
         {
             "n_words": T.word_count("text"),
             "n_sentences": T.sentence_count("text"),
@@ -154,11 +164,17 @@ def with_features(pool: DataFrame) -> DataFrame:
             "id_noise": T.identity_noise(F.col("pad_t")),
             "has_def": T.has_definition(F.col("pad_t")),
             "is_ref": T.is_reference_section("text"),
-            "match": query_match_score(F.col("nq"), F.col("nt")),
             "file_toks": T.file_topic_tokens("file_name"),
-            "intro": intro_score(F.col("nq"), F.col("nt")),
         }
     )
+
+
+def with_features(pool: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Text pool with all evidence columns, each computed once."""
+    p = with_text(pool, chunks, queries, features=True)
+    p = p.withColumns(
+        {"match": query_match_score(F.col("nq"), F.col("nt")), "intro": intro_score(F.col("nq"), F.col("nt"))}
+    )
     p = p.withColumns(
         {
             "topic": source_topic_score(F.col("topic_toks"), F.col("file_toks")),
@@ -542,10 +558,9 @@ def empty_rescue(queries: DataFrame, answered: DataFrame, chunks: DataFrame, k:
 
     open_q = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
     cov = L.coverage_topk(chunks, open_q, V.COVERAGE_TOP_K, 0.40)
-    p = with_text(cov.select("query_id", "chunk_key", "score", "rank"), chunks, open_q)
-    p = with_features(p).where(~F.col("unasked_ref") & (F.col("noise") < 5))
+    p = with_features(cov.select("query_id", "chunk_key", "score", "rank"), chunks, open_q).where(~F.col("unasked_ref") & (F.col("noise") < 5))
     p = top_k_per(p, ["query_id"], [F.col("rank").asc()], 10, "r10").drop("r10")
-    cols = ["query_id", "chunk_key", "query", "query_tokens", "text", "file_key", "rank"]
+    cols = ["query_id", "chunk_key", "query", "query_tokens", "text", "text_tokens", "file_key", "rank"]
     ok = confidence_gate(rescore_pairs(p.select(*cols, "short_query", "list_query", "compound_query")))
     ok = rerank(ok.drop("prior_rank").withColumnRenamed("rank", "p"), F.col("p").asc())
     d = diversity_cap(ok, per_file_cap())

@@ -7,7 +7,7 @@ shuffle: tokens are filtered against the query terms inside the scan stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -27,23 +27,37 @@ def build_postings(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("term", "chunk_key", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "chunk_key", "tf", "dl")
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: ``n_chunks, avgdl``."""
-    dl = F.size(T.tokenize("text"))
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(dl).alias("avgdl"))
+_CORPUS = ""  # the vocabulary row that counts chunks and tokens
 
 
-def term_stats(chunks: DataFrame) -> DataFrame:
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """``term, df, n_tokens``; the row with the empty term holds the chunk and token totals.
+
+    One pass over the texts: everything BM25 needs to know about the corpus comes from
+    this table, whose shuffle is reused by the scalar subqueries below.
+    """
+    t = chunks.select(T.tokenize("text").alias("t"))
+    t = t.select(F.size("t").cast("bigint").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(_CORPUS))).alias("term"))
+    own = F.when(F.col("term") == _CORPUS, F.col("dl")).otherwise(0)
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(own).alias("n_tokens"))
+
+
+def _total(vocab: DataFrame, value: Column) -> Column:
+    return vocab.agg(F.max(F.when(F.col("term") == _CORPUS, value)).alias("v")).scalar()
+
+
+def average_length(vocab: DataFrame) -> Column:
+    """Mean tokens per chunk, as a scalar subquery."""
+    return _total(vocab, F.col("n_tokens") / F.col("df"))
+
+
+def term_stats(vocab: DataFrame) -> DataFrame:
     """``term, df, idf``; negative idf is replaced by a quarter of the vocabulary's mean idf."""
-    df = (
-        chunks.select(F.explode(F.array_distinct(T.tokenize("text"))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    n = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg((F.avg("raw") * V.BM25_EPSILON).alias("f")).scalar()
-    return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+    n = _total(vocab, F.col("df"))
+    raw = vocab.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    is_term = F.col("term") != _CORPUS
+    floor = raw.agg((F.avg(F.when(is_term, F.col("raw"))) * V.BM25_EPSILON).alias("f")).scalar()
+    return raw.where(is_term).select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -52,29 +66,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return t.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """``query_id, chunk_key, score`` for every chunk sharing a token with the query."""
+def bm25_scores(chunks: DataFrame, queries: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """``query_id, chunk_key, score`` for every chunk sharing a token with the query.
+
+    Pass a stored ``vocab`` to skip the statistics pass.
+    """
     qt = query_terms(queries)
     small = fits(qt)
-    weights = qt.join(stats if stats is not None else term_stats(chunks), "term").select(
-        "query_id", "term", (F.col("qf") * F.col("idf")).alias("w")
-    )
+    v = vocabulary(chunks) if vocab is None else vocab
+    idf = term_stats(v)
+    # A plain inner join: a semi join would be pushed below the vocabulary's aggregation
+    # and the statistics subqueries could no longer share its shuffle.
+    weights = idf.join(F.broadcast(qt) if small else qt, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
     toks = chunks.select("chunk_key", T.tokenize("text").alias("t"))
-    avgdl = chunks.agg(F.avg(F.size(T.tokenize("text"))).alias("a")).scalar()
     hits = toks.select("chunk_key", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    wanted = qt.select("term").distinct()
     if small:
-        hits = hits.join(F.broadcast(wanted), "term", "left_semi")
+        hits = hits.join(F.broadcast(qt.select("term").distinct()), "term", "left_semi")
     tf = hits.groupBy("chunk_key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     k1, b = V.BM25_K1, V.BM25_B
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    joined = join_lookup(tf, weights, ["term"], ["chunk_key"], small)
-    return joined.groupBy("query_id", "chunk_key").agg(F.sum(part).alias("score"))
+    tf = tf.withColumn("part", F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average_length(v))))
+    joined = join_lookup(tf.select("chunk_key", "term", "part"), weights, ["term"], ["chunk_key"], small)
+    return joined.groupBy("query_id", "chunk_key").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K, stats: DataFrame | None = None) -> DataFrame:
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K, vocab: DataFrame | None = None) -> DataFrame:
     """``query_id, chunk_key, score, rank``: the k best matching chunks per query."""
-    return top_k_per(bm25_scores(chunks, queries, stats), ["query_id"], score_order("score", "chunk_key"), k, "rank")
+    return top_k_per(bm25_scores(chunks, queries, vocab), ["query_id"], score_order("score", "chunk_key"), k, "rank")
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, exact: DataFrame | None = No
         todo = _without(todo, e)
     lex = L.bm25_topk(chunks, todo)
     vec = L.coverage_topk(chunks, todo, V.TOP_K)
-    pool = G.with_features(G.with_text(G.hybrid_merge(vec, lex), chunks, todo))
+    pool = G.with_features(G.hybrid_merge(vec, lex), chunks, todo)
     fast_i = G.identity_fast_path(pool).select(
         "query_id", "chunk_key", F.lit("identity_fast").alias("route"), F.lit(1).alias("pos"), "score")
     fast_r = G.relation_fast_path(pool).select(

@@ -43,7 +43,7 @@ def hybrid(spark, sf, queries=None, k=V.TOP_K):
 
 def feature_pool(spark, sf, positions=False):
     c = pchunks(spark, sf) if positions else fchunks(spark, sf)
-    return G.with_features(G.with_text(hybrid(spark, sf), c, question_texts(spark, sf)))
+    return G.with_features(hybrid(spark, sf), c, question_texts(spark, sf))
 
 
 def rescored(spark, sf, positions=False):

@@ -35,7 +35,7 @@ TERM_STATS_SQL = f"""SELECT term, df, CASE WHEN raw < 0 THEN {V.BM25_EPSILON} *
 
 @query("term_stats", f"SELECT term, df, round(idf, 6) AS idf FROM ({TERM_STATS_SQL})")
 def _(spark, sf):
-    return L.term_stats(X.corpus(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return L.term_stats(L.vocabulary(X.corpus(spark, sf))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_sql(k: int, queries: str = X.QUERIES_SQL) -> str:
