@@ -32,7 +32,7 @@ def block_row_number(
 ) -> DataFrame:
     """1-based row number per key by a unique integer position, optionally with the key's row count."""
     keys = list(keys)
-    rows = _with_block(df, order, width)
+    rows = _with_block(df, order, width).repartition(*keys, _B)
     per_block = rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_block.select(
@@ -42,66 +42,11 @@ def block_row_number(
         F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
     )
     local = Window.partitionBy(*keys, _B).orderBy(order)
-    res = _join_carry(rows.withColumn("__rn", F.row_number().over(local)), carry, keys)
-    res = res.withColumn(out, (F.col("__rn") + F.col("__before")).cast("bigint"))
+    res = _join_carry(rows.withColumn("__local", F.row_number().over(local)), carry, keys)
+    res = res.withColumn(out, (F.col("__local") + F.col("__before")).cast("bigint"))
     if total:
         res = res.withColumn(total, F.col("__total").cast("bigint"))
-    return res.drop(_B, "__rn", "__before", "__total")
-
-
-def block_running_sum(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, width: int = BLOCK_WIDTH
-) -> DataFrame:
-    """Inclusive running sum of ``value`` per key."""
-    keys = list(keys)
-    rows = _with_block(df, order, width).withColumn("__v", value.cast("bigint"))
-    per_block = rows.groupBy(*keys, _B).agg(F.sum("__v").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select(*keys, _B, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    res = _join_carry(rows.withColumn("__run", F.sum("__v").over(local)), carry, keys)
-    return res.withColumn(out, (F.col("__run") + F.col("__before")).cast("bigint")).drop(
-        _B, "__v", "__run", "__before"
-    )
-
-
-def block_fill_forward(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: Column,
-    out: str,
-    include_current: bool = True,
-    width: int = BLOCK_WIDTH,
-) -> DataFrame:
-    """Latest non-null ``value`` at (or strictly before) each row, per key: an as-of fill."""
-    keys = list(keys)
-    rows = _with_block(df, order, width).withColumn("__v", value)
-    # Blocks without a value still need a carry, so the block list comes from all rows.
-    blocks = rows.groupBy(*keys, _B).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(order))).alias("__last"))
-    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select(*keys, _B, F.last("__last", ignorenulls=True).over(before).alias("__carry"))
-    upper = 0 if include_current else -1
-    local = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, upper)
-    res = _join_carry(rows.withColumn("__loc", F.last("__v", ignorenulls=True).over(local)), carry, keys)
-    return res.withColumn(out, F.coalesce("__loc", "__carry")).drop(_B, "__v", "__loc", "__carry")
-
-
-def block_shift(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, step: int = 1, width: int = BLOCK_WIDTH
-) -> DataFrame:
-    """``lag`` (step=1) or ``lead`` (step=-1) of ``value`` per key."""
-    if step not in (1, -1):
-        raise ValueError("step must be 1 or -1")
-    keys = list(keys)
-    rows = _with_block(df, order, width).withColumn("__v", F.struct(value.alias("v")))
-    pick = F.max_by if step == 1 else F.min_by
-    edge = rows.groupBy(*keys, _B).agg(pick("__v", order).alias("__edge"))
-    bw = Window.partitionBy(*keys).orderBy(_B)
-    carry = edge.select(*keys, _B, F.lag("__edge", step).over(bw).alias("__carry"))
-    local = Window.partitionBy(*keys, _B).orderBy(order)
-    res = _join_carry(rows.withColumn("__loc", F.lag("__v", step).over(local)), carry, keys)
-    return res.withColumn(out, F.coalesce("__loc", "__carry").getField("v")).drop(_B, "__v", "__loc", "__carry")
+    return res.drop(_B, "__local", "__before", "__total")
 
 
 def top_k_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, rank: str) -> DataFrame:
@@ -159,3 +104,55 @@ def fence(df: DataFrame, key: str) -> DataFrame:
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     return df.withColumn("__fence", n).where("__fence > 0").drop("__fence")
+
+
+def block_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    fill: dict[str, Column] | None = None,
+    fill_before: dict[str, Column] | None = None,
+    total: dict[str, Column] | None = None,
+    lag: dict[str, Column] | None = None,
+    lead: dict[str, Column] | None = None,
+    width: int = BLOCK_WIDTH,
+) -> DataFrame:
+    """Several ordered computations per key in one two-level pass.
+
+    ``fill``/``fill_before``: latest non-null value up to / strictly before the row;
+    ``total``: inclusive running sum; ``lag``/``lead``: neighbouring row's value.
+    """
+    keys = list(keys)
+    rows = _with_block(df, order, width)
+    local = Window.partitionBy(*keys, _B).orderBy(order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    below = local.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(*keys).orderBy(_B)
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    value, summary, carry, result = {}, {}, {}, {}
+    inside = {}
+
+    def add(name: str, col: Column, edge: Column, carried: Column, within: Column, final: Column) -> None:
+        v = f"__v_{name}"
+        value[v], summary[f"__s_{name}"], carry[f"__c_{name}"] = col, edge, carried
+        inside[f"__w_{name}"], result[name] = within, final
+
+    for group, frame in ((fill, upto), (fill_before, below)):
+        for n, c in (group or {}).items():
+            v = f"__v_{n}"
+            add(n, c, F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))),
+                F.last(f"__s_{n}", ignorenulls=True).over(earlier), F.last(v, ignorenulls=True).over(frame),
+                F.coalesce(f"__w_{n}", f"__c_{n}"))
+    for n, c in (total or {}).items():
+        add(n, c.cast("bigint"), F.sum(f"__v_{n}"), F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)),
+            F.sum(f"__v_{n}").over(upto), (F.col(f"__w_{n}") + F.col(f"__c_{n}")).cast("bigint"))
+    for group, step, pick in ((lag, 1, F.max_by), (lead, -1, F.min_by)):
+        for n, c in (group or {}).items():
+            add(n, F.struct(c.alias("v")), pick(f"__v_{n}", order), F.lag(f"__s_{n}", step).over(blocks),
+                F.lag(f"__v_{n}", step).over(local), F.coalesce(f"__w_{n}", f"__c_{n}").getField("v"))
+    # One shuffle by (key, block) serves the local windows and the block summaries.
+    rows = rows.withColumns(value).repartition(*keys, _B)
+    per_block = rows.groupBy(*keys, _B).agg(*[e.alias(n) for n, e in summary.items()])
+    carried = per_block.select(*keys, _B, *[e.alias(n) for n, e in carry.items()])
+    out = _join_carry(rows.withColumns(inside), carried, keys)
+    return out.select(*[F.col(c) for c in df.columns], *[e.alias(n) for n, e in result.items()])
