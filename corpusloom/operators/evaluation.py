@@ -75,9 +75,10 @@ def containing_documents(chunks: DataFrame, queries: DataFrame, vocab: DataFrame
     from corpusloom.operators.scale import fits, join_lookup, top_k_per
 
     t = queries.select("query_id", F.explode(F.array_distinct(T.tokenize("query"))).alias("term")).join(vocab.select("term", "df"), "term")
-    rare = top_k_per(t, ["query_id"], [F.col("df").asc(), F.col("term").asc()], 1, "r").select("query_id", "term").join(queries, "query_id")
-    toks = chunks.select("chunk_key", "text", F.explode(F.array_distinct(T.tokenize("text"))).alias("term"))
-    j = join_lookup(toks, rare, ["term"], ["chunk_key"], fits(queries, 10_000))
+    rare = top_k_per(t, ["query_id"], [F.col("df").asc(), F.col("term").asc()], 1, "r").select("query_id", "term")
+    toks = chunks.select("chunk_key", F.array_distinct(T.tokenize("text")).alias("ts")).select("chunk_key", F.explode("ts").alias("term"))
+    j = join_lookup(toks, rare, ["term"], ["chunk_key"], fits(queries, 10_000)).select("chunk_key", "query_id")
+    j = j.join(chunks.select("chunk_key", "text"), "chunk_key").join(queries.select("query_id", "query"), "query_id")
     return j.where(F.contains("text", "query")).select("query_id", "chunk_key")
 
 

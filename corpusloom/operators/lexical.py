@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vocab as V
-from corpusloom.operators.scale import fits, join_lookup, top_k_per
+from corpusloom.operators.scale import computed_once, fits, join_lookup, top_k_per
 
 
 def score_order(score: str, *ties: str) -> list[Column]:
@@ -20,10 +20,19 @@ def score_order(score: str, *ties: str) -> list[Column]:
     return [F.round(score, 9).desc(), *[F.col(t).asc() for t in ties]]
 
 
+def _token_rows(chunks: DataFrame) -> DataFrame:
+    """``chunk_key, dl, term``.
+
+    The length is its own step, otherwise every exploded row would carry the token array;
+    ``computed_once`` keeps the inferred not-empty filter from tokenising a second time.
+    """
+    t = chunks.select("chunk_key", computed_once(T.tokenize("text")).alias("t")).withColumn("dl", F.size("t").cast("bigint"))
+    return t.select("chunk_key", "dl", F.explode("t").alias("term"))
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
     """``term, chunk_key, tf, dl``; map-side combine collapses each chunk's tokens before the shuffle."""
-    toks = chunks.select("chunk_key", T.tokenize("text").alias("t"))
-    rows = toks.select("chunk_key", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term"))
+    rows = _token_rows(chunks)
     return rows.groupBy("term", "chunk_key", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "chunk_key", "tf", "dl")
 
 
@@ -36,8 +45,8 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
     One pass over the texts: everything BM25 needs to know about the corpus comes from
     this table, whose shuffle is reused by the scalar subqueries below.
     """
-    t = chunks.select(T.tokenize("text").alias("t"))
-    t = t.select(F.size("t").cast("bigint").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(_CORPUS))).alias("term"))
+    t = chunks.select(computed_once(T.tokenize("text")).alias("t")).withColumn("dl", F.size("t").cast("bigint"))
+    t = t.withColumn("t", F.array_append(F.array_distinct("t"), F.lit(_CORPUS))).select("dl", F.explode("t").alias("term"))
     own = F.when(F.col("term") == _CORPUS, F.col("dl")).otherwise(0)
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(own).alias("n_tokens"))
 
@@ -78,10 +87,11 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, vocab: DataFrame | None =
     # A plain inner join: a semi join would be pushed below the vocabulary's aggregation
     # and the statistics subqueries could no longer share its shuffle.
     weights = idf.join(F.broadcast(qt) if small else qt, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
-    toks = chunks.select("chunk_key", T.tokenize("text").alias("t"))
-    hits = toks.select("chunk_key", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    hits = _token_rows(chunks)
     if small:
         hits = hits.join(F.broadcast(qt.select("term").distinct()), "term", "left_semi")
+    # Matched tokens move once, by chunk; counting, weighting and summing then stay in place.
+    hits = hits.repartition("chunk_key")
     tf = hits.groupBy("chunk_key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     k1, b = V.BM25_K1, V.BM25_B
     tf = tf.withColumn("part", F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average_length(v))))
@@ -102,12 +112,14 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 def _chunk_tokens(chunks: DataFrame) -> DataFrame:
     """``chunk_key, token, in_body, in_title`` with each token once per chunk; needs a ``title`` column."""
-    c = chunks.select("chunk_key", T.meaningful_tokens("text").alias("body"), T.meaningful_tokens("title").alias("head"))
+    c = chunks.select("chunk_key", "title", computed_once(T.meaningful_tokens("text")).alias("body"))
+    c = c.select("chunk_key", "body", computed_once(T.meaningful_tokens("title")).alias("head"))
     both = F.concat(
         F.transform("body", lambda t: F.struct(t.alias("token"), F.lit(1).alias("in_body"))),
         F.transform(F.array_except("head", "body"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("in_body"))),
     )
-    return c.select("chunk_key", "head", F.explode(both).alias("e")).select(
+    c = c.select("chunk_key", "head", both.alias("both"))
+    return c.select("chunk_key", "head", F.explode("both").alias("e")).select(
         "chunk_key", F.col("e.token").alias("token"), F.col("e.in_body").alias("in_body"),
         F.array_contains("head", F.col("e.token")).cast("int").alias("in_title"),
     )

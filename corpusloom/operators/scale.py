@@ -156,3 +156,8 @@ def block_scan(
     carried = per_block.select(*keys, _B, *[e.alias(n) for n, e in carry.items()])
     out = _join_carry(rows.withColumns(inside), carried, keys)
     return out.select(*[F.col(c) for c in df.columns], *[e.alias(n) for n, e in result.items()])
+
+
+def computed_once(col: Column) -> Column:
+    """A generated column: filters on it cannot be rewritten to evaluate its expression again."""
+    return F.explode(F.array(col))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vocab as V
-from corpusloom.operators.scale import block_row_number, block_scan, top_k_per, two_level_count
+from corpusloom.operators.scale import block_row_number, block_scan, computed_once, top_k_per, two_level_count
 
 # Heading patterns and terms.
 RULE_HEADING = r"(?i)^\s*Rule\s+([0-9]+(?:\.[0-9]+)*)(?:\s*[-:–—]\s*.*)?\s*$"
@@ -204,15 +204,18 @@ def number_chunks(df: DataFrame, file_key: str, doc_no: str, part: str) -> DataF
 
 
 def min_length_gate(df: DataFrame, text: str, min_chars: int = V.MIN_DOCUMENT_CHARS) -> DataFrame:
-    n = F.length(T.clean_text(text))
+    kept = df.columns
+    df = df.withColumn("__n", computed_once(F.length(T.clean_text(text))))
+    n = F.col("__n")
     reason = F.when(n == 0, "empty document").when(n < min_chars, F.concat(F.lit("text too short: "), n.cast("string")))
-    return df.withColumn("skip_reason", reason)
+    return df.select(*kept, reason.alias("skip_reason"))
 
 
 def ingest_corpus(docs: DataFrame) -> DataFrame:
     """Clean, gate, window and number documents (``doc_id, source, text``); skipped ones are left out."""
-    d = min_length_gate(docs, "text").where("skip_reason IS NULL").withColumn("cleaned", T.clean_text("text"))
-    c = window_chunks(d.select("doc_id", "source", "cleaned"), "cleaned").drop("cleaned")
+    d = docs.select("doc_id", "source", computed_once(T.clean_text("text")).alias("cleaned"))
+    d = d.where(F.length("cleaned") >= V.MIN_DOCUMENT_CHARS)
+    c = window_chunks(d, "cleaned").drop("cleaned")
     return number_chunks(c, "source", "doc_id", "part")
 
 
