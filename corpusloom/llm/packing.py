@@ -12,19 +12,21 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import arrays as A
 from corpusloom.llm.tables import need, saved
 
 CAPACITY = 2048
 NEARLY_FULL = 8
 GROUP_BINS = 40_000
 ROUNDS = 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 BIN = (
     "bin long, fill int, done boolean, "
@@ -32,33 +34,87 @@ BIN = (
 )
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64())])
 _BIN = pa.schema([("bin", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("items", pa.list_(_ITEM))])
-_BLANKS = str.maketrans("\t\n\r\f\v", "     ")
-
-
-class ChunkTokenizer:
-    """Token ids of whole texts, each blank-separated chunk tokenised once.
-
-    Holds for tokenizers whose pre-tokenizer never joins text across white space; the cache is
-    emptied when it has ``CACHE_WORDS`` entries.
+#: Bytes that do not print stand for themselves in no vocabulary: byte-level tokenizers move them to 256 and up.
+_VISIBLE = {b: 256 + i for i, b in enumerate(x for x in range(256) if not (0x21 <= x <= 0x7E or 0xA1 <= x <= 0xAC or x >= 0xAE))}
+_KIND = np.full(256, 2, np.uint8)  # other marks
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[0x61:0x7B] = _KIND[0x80:] = 1
+_KIND[0x30:0x3A] = 3
+_ODD = np.ones(256, bool)
+_ODD[9:14] = _ODD[0x20:0x7F] = _ODD[0xC3] = False
+_ODD[0x27] = True
+
+
+class Tokenizer:
+    """Token ids of whole documents, each distinct word tokenised once per worker.
+
+    For tokenizers of this kind: lower-casing, white space dropped, runs of letters, single digits and runs
+    of other marks tokenised each by itself.  Documents of ASCII and Latin letters are cut into such runs as
+    arrays; any other document (other scripts, apostrophes, special tokens) goes through the library as it is.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    held: dict[str, Tokenizer] = {}
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+    @classmethod
+    def at(cls, path: str) -> Tokenizer:
+        return cls.held.get(path) or cls.held.setdefault(path, cls(path))
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        chunks = text.translate(_BLANKS).split(" ")
-        cache = self.cache
-        new = [c for c in set(chunks) if c not in cache]
-        if new:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[c] for c in chunks])
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer as Library
+
+        self.library, self.known = Library.from_file(path), {}
+        self.model = self.library.model
+
+    def word(self, raw: bytes) -> tuple[int, ...]:
+        text = raw.decode("latin-1")
+        ids = tuple([t.id for t in self.model.tokenize(text if raw.isascii() else text.translate(_VISIBLE))])
+        if len(self.known) >= CACHE_WORDS:
+            self.known.clear()
+        self.known[raw] = ids
+        return ids
+
+    def documents(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each document."""
+        lower, odd = _plain(data)
+        plain = np.ones(len(off) - 1, bool)
+        plain[np.searchsorted(off, odd, "right") - 1] = False
+        kind = _KIND[lower]
+        kind[np.repeat(~plain, np.diff(off))] = 0
+        start = kind > 0
+        last = start.copy()
+        if len(lower):
+            cut = np.zeros(len(lower) + 1, bool)
+            cut[off] = True
+            same = (kind[1:] == kind[:-1]) & (kind[1:] != 3) & ~cut[1:-1]
+            start[1:] &= ~same
+            last[:-1] &= ~same
+        starts, ends = np.flatnonzero(start), np.flatnonzero(last) + 1
+        bounds = np.searchsorted(starts, off)
+        distinct, first, token = np.unique(A.word_hash(lower, starts, ends), return_index=True, return_inverse=True)
+        raw, known = lower.tobytes(), self.known
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        found = [known.get(w) or self.word(w) for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))
+        at, token = np.r_[0, np.cumsum(size)], token.reshape(-1)
+        ids = flat[A.ranges(at[token], size[token])]
+        stop = np.r_[0, np.cumsum(size[token])][bounds]
+        out = [ids[a:b].tobytes() for a, b in zip(stop[:-1].tolist(), stop[1:].tolist())]
+        for d in np.flatnonzero(~plain).tolist():
+            text = data[off[d] : off[d + 1]].tobytes().decode()
+            out[d] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
+def _plain(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and places where something stands that only the library handles."""
+    after_c3 = np.zeros(len(data), bool)
+    after_c3[1:] = data[:-1] == 0xC3
+    lower = A.fold(data)
+    lower[after_c3 & (data >= 0x80) & (data <= 0x9E)] += 0x20
+    odd = _ODD[data] & ~(after_c3 & (data >= 0x80) & (data != 0x97) & (data != 0xB7))
+    odd[1:] |= (data[1:] == 0x7C) & (data[:-1] == 0x3C)
+    return lower, np.flatnonzero(odd)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -109,7 +165,7 @@ def _number(round_no: int) -> int:
 
 def _cut_and_pack(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = ChunkTokenizer(path), np.array([end_id], "<u4").tobytes()
+        tokens, end = Tokenizer.at(path), np.array([end_id], "<u4").tobytes()
         first, full, items = _number(1), [], []
 
         def flush():
@@ -122,17 +178,18 @@ def _cut_and_pack(path: str, capacity: int, end_id: int):
             items.clear()
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, doc in enumerate(ids):
-                raw = tokens(texts[i].as_py() or "") + end
-                n = len(raw) // 4
-                for k in range(0, n, capacity):
-                    cut = raw[4 * k : 4 * (k + capacity)]
-                    item = (doc, k // capacity, k, len(cut) // 4, zlib.crc32(cut))
-                    if len(cut) == 4 * capacity:
-                        full.append((capacity, [item]))
-                    else:
-                        items.append(item)
+            data, off = A.text_bytes(batch.column(1))
+            docs = iter(batch.column(0).to_pylist())
+            for _, _, part, cuts in A.pieces(data, off):
+                for raw in tokens.documents(part, cuts):
+                    doc, raw = next(docs), raw + end
+                    for k in range(0, len(raw) // 4, capacity):
+                        cut = raw[4 * k : 4 * (k + capacity)]
+                        item = (doc, k // capacity, k, len(cut) // 4, zlib.crc32(cut))
+                        if len(cut) == 4 * capacity:
+                            full.append((capacity, [item]))
+                        else:
+                            items.append(item)
                 if len(items) + len(full) >= GROUP_BINS:
                     yield from flush()
         yield from flush()
