@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, near_dedup, packing
+from corpusloom.llm import decontaminate, near_dedup, packing, secrets, toxicity, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +100,91 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=4, threshold=(80, 100))
     return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def fold_of(key: str, folds: int):
+    """crc32 of an id as text, modulo ``folds``; a null id is in fold 0."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % folds, F.lit(0))
+
+
+_OP8_SQL = r"""
+WITH rules(kind, no, pat, grp, least, base) AS (VALUES
+  ('assign', 1, '(?:(?i:password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', 1, 6, true),
+  ('access', 2, 'AKIA[A-Z0-9]+', 0, 20, true),
+  ('hex', 3, '[0-9a-f]+', 0, 24, true),
+  ('private_key', 4, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1, false),
+  ('web_token', 5, 'eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}', 0, 1, false),
+  ('host_token', 6, '(?:gh[pousr]_|xox[abprs]-)[A-Za-z0-9-]{{20,}}', 0, 1, false)),
+parts AS ({parts}),
+hits AS (
+  SELECT doc_id, kind, no, base, counted, least,
+         sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i) - size AS s, sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e
+  FROM (SELECT doc_id, kind, no, base, least, unnest(generate_series(1, len(m))) AS i,
+               unnest(list_transform(m, lambda x: length(x))) AS size, unnest(list_transform(c, lambda x: length(x))) AS counted,
+               unnest(list_transform(g[: len(m)], lambda x: length(x))) AS gap FROM parts)),
+good AS (SELECT * FROM hits WHERE counted >= least),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || cast(s AS bigint) || ':' || cast(e AS bigint), ',' ORDER BY s, no) FILTER (base) AS b,
+         string_agg(kind || ':' || cast(s AS bigint) || ':' || cast(e AS bigint), ',' ORDER BY s, no) AS spans
+  FROM good GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN by_doc USING (doc_id)
+"""
+_OP8_PART = """SELECT doc_id, kind, no, base, least, regexp_extract_all(coalesce(text, ''), '{pat}', 0) AS m,
+       regexp_extract_all(coalesce(text, ''), '{pat}', {grp}) AS c, string_split_regex(coalesce(text, ''), '{pat}') AS g
+  FROM documents, rules WHERE no = {no}"""
+
+
+def _op8_sql() -> str:
+    """DuckDB wants the pattern as a constant, so each rule is a branch of its own."""
+    pats = re.findall(r"\('(\w+)', (\d), '((?:[^']|'')+)', (\d), \d+", _OP8_SQL.replace("\\'", "''").replace("{{", "{").replace("}}", "}"))
+    parts = " UNION ALL ".join(_OP8_PART.format(pat=p, grp=g, no=no) for _, no, p, g in pats)
+    return _OP8_SQL.replace("\\'", "''").replace("{parts}", parts).replace("{{", "{").replace("}}", "}")
+
+
+@query("op8_secret_scans", _op8_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, found = secrets.scan(versions)
+    rows = secrets.findings(versions, found)
+    spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:long, no:long, end:long, kind:string>>)"))
+    base = F.filter(spans, lambda s: s["no"] <= len(secrets.BASE_RULES))
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return rows.select(
+        "doc_id",
+        *[count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES],
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(spans).alias("spans"),
+    )
+
+
+_OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(x AS double)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+low AS (SELECT vec_id, min(other) AS m FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
+"""
+
+
+@query("op9_embedding_near_dedup", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+    return near.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold_of("doc_id", 4) == 2
+    net = toxicity.train(docs, labels, usable=~held)
+    scored = toxicity.score_documents(docs, net)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
