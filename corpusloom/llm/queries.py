@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, near_dedup, packing, secrets, toxicity, vector_dedup
+from corpusloom.llm import decontaminate, html_extract, line_dedup, near_dedup, packing, secrets, toxicity, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = toxicity.train(docs, labels, usable=~held)
     scored = toxicity.score_documents(docs, net)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+_OP2_SQL = r"""
+WITH rows_ AS (SELECT doc_id, text, coalesce(source, chr(1)) AS site FROM documents),
+l AS (SELECT doc_id, site, unnest(string_split(text, chr(10))) AS raw, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM rows_),
+k AS (SELECT *, trim(translate(raw, chr(9) || chr(13) || chr(12) || chr(11), '    ')) AS line FROM l),
+b AS (SELECT line, min(doc_id * 1000000 + pos) AS first FROM k WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 5),
+j AS (SELECT doc_id, pos, raw, k.line, b.line IS NOT NULL AND doc_id * 1000000 + pos <> first AS gone FROM k LEFT JOIN b USING (line))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept_text
+FROM j GROUP BY doc_id
+"""
+
+
+@query("op2_line_dedup", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.line_spread_dedup(table(spark, sf_dir, "documents"), min_sites=5)
+    return left.select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept_text"))
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
