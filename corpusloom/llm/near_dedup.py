@@ -6,8 +6,8 @@ minima and an element stops as soon as every slot of its document holds a value
 
 Documents with equal shingle sets form one class and only classes are compared.  In a bucket of a band
 each class is paired with one centre, never with all others; pairs are confirmed on the full shingle sets,
-confirmed pairs give components, and a bucket that still holds several components is compared again with
-other centres until only pairs across components are left, which are then all compared.
+confirmed pairs give components.  Components that still share a bucket and have alike signatures form a
+family, and the classes of a family are compared across its components on their full sets.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ SHINGLE = 5
 THRESHOLD = (80, 100)
 SLOTS = 128
 BANDS = 32
-#: Fewer equal slots than this cannot come from a similarity at the threshold of 0.8 (six deviations).
-LEAST_EQUAL = 76
+#: Fewer equal slots than this are 4.5 deviations below a similarity at the threshold of 0.8.
+LEAST_EQUAL = 82
 #: Row keys sent to every task at once when texts are fetched for verification; more go through a join.
 KEYS_SENT = 2_000_000
-#: Pairs across components, by class, that are compared without another round of centres before.
-CROSS_PER_CLASS = 4
+#: Rows of a bucket or family that meet in one task.
+BLOCK = 2048
 WORDS = A.byte_class("space")
 PIECE = 1 << 20
 _PLACE = A.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -182,6 +182,78 @@ def _confirm(size: int, least: int, of: int):
     return run
 
 
+def _in_blocks(df: DataFrame, key: str, member: str) -> DataFrame:
+    """Rows sorted by group ``k``, in which any two rows of one ``key`` meet and which has a bounded size.
+
+    A key of more than ``BLOCK`` rows is dealt into parts, and each pair of parts is a group.
+    """
+    parts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__parts"))
+    rows = df.join(parts, key).withColumn("__i", F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
+    rows = rows.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    rows = rows.withColumn("k", F.xxhash64(key, F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("__parts", "__i", "__j")
+    return rows.repartition("k").sortWithinPartitions("k")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of the rows of one ``k`` each, from rows sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        k = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(k)].tolist()):
+            if a == b:
+                continue
+            if held and held[-1].column(0)[-1].as_py() != k[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _alike_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest over the components of a bucket that have classes with alike signatures."""
+    for rows in _groups(batches):
+        p, at = np.unique(rows.column("p").to_numpy(), return_inverse=True)
+        sig = A.text_bytes(rows.column("sig"))[0].view(np.uint32).reshape(-1, SLOTS)
+        label, main = np.arange(len(p)), np.bincount(at).argmax()
+        for i in np.flatnonzero(at != main).tolist():
+            near = at[(sig == sig[i]).sum(axis=1) >= LEAST_EQUAL]
+            seen = np.unique(label[near])
+            if len(seen) > 1:
+                label[np.isin(label, seen)] = seen[0]
+        far = np.flatnonzero(label != np.arange(len(p)))
+        yield pa.RecordBatch.from_arrays([pa.array(p[label[far]]), pa.array(p[far])], names=["a", "b"])
+
+
+def _linked(size: int, least: int, of: int):
+    """Links across components inside a family: each asking class against all, on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            s, at = shingle_sets(*A.text_bytes(rows.column("text")), size)
+            ids, p = rows.column("c").to_numpy(), rows.column("p").to_numpy()
+            label = p.copy()
+            n = np.diff(at)
+            distinct, code = np.unique(s, return_inverse=True)
+            code, mark = code.reshape(-1), np.zeros(len(distinct), np.int64)
+            a, b = [], []
+            for i in np.flatnonzero(rows.column("asks").to_numpy(zero_copy_only=False)).tolist():
+                mine = code[at[i] : at[i + 1]]
+                mark[mine] = 1
+                common = np.add.reduceat(mark[code], at[:-1])
+                mark[mine] = 0
+                new = (of * common >= least * (n + n[i] - common)) & (label != label[i])
+                for j in np.flatnonzero(new).tolist():
+                    if label[j] != label[i]:
+                        a.append(ids[i])
+                        b.append(ids[j])
+                        label[label == label[j]] = label[i]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _only(keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,30 +305,24 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, i
     bands = saved(bands.join(shared, "band"))
     pairs = bands.where("c > a").select("a", F.col("c").alias("b")).distinct()
     edges = _verified(rows, classes, pairs, shingle, threshold)
-    parts, tried = components(edges), 0
-    while True:
-        # buckets whose classes are in several components
-        placed = bands.select("band", "c").join(parts.select(F.col("node").alias("c"), "component"), "c", "left")
-        placed = placed.select("band", "c", F.coalesce("component", "c").alias("p"))
-        open_ = placed.groupBy("band").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 < p1").select("band")
-        placed = saved(placed.join(open_, "band"))
-        by_part = placed.groupBy("band", "p").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        load = by_part.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        cross = load.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0
-        last = cross <= CROSS_PER_CLASS * max(1000, classes.count()) or tried >= 6
-        if last:
-            other = placed.select("band", F.col("c").alias("d"), F.col("p").alias("q"))
-            pairs = placed.join(other, "band").where("p < q").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-        else:
-            tried += 1
-            mid = placed.groupBy("band").agg(F.min_by(F.struct("c", "p"), F.xxhash64("c", F.lit(tried))).alias("m"))
-            pairs = placed.join(mid, "band").where("p != m.p").select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"))
-        found = _verified(rows, classes, pairs.distinct(), shingle, threshold) if cross else None
-        if found is not None and not found.isEmpty():
-            edges = saved(edges.union(found))
-            parts = components(edges)
-        if last:
-            break
+    parts = components(edges)
+    # Buckets whose classes are in several components: which components look alike?
+    placed = bands.select("band", "c").join(parts.select(F.col("node").alias("c"), "component"), "c", "left")
+    placed = placed.select("band", "c", F.coalesce("component", "c").alias("p"))
+    open_ = placed.groupBy("band").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 < p1").select("band")
+    placed = placed.join(open_, "band").join(classes.select("c", "sig"), "c")
+    families = components(saved(_in_blocks(placed, "band", "c").select("k", "p", "sig").mapInArrow(_alike_parts, "a long, b long")))
+    # All classes of a family of such components are compared on their full sets.
+    home = classes.select("c").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", F.coalesce("component", "c").alias("p"))
+    family = families.select(F.col("node").alias("p"), F.col("component").alias("f"))
+    family = family.union(family.select(F.col("f").alias("p"), "f").distinct())
+    home = saved(home.join(family, "p"))
+    largest = home.groupBy("f", "p").agg(F.count(F.lit(1)).alias("n")).groupBy("f").agg(F.max_by("p", F.struct("n", "p")).alias("largest"))
+    text = _texts_of(rows, home.select(F.col("c").alias(ROW)))
+    members = home.join(largest, "f").join(text.withColumnRenamed(ROW, "c"), "c")
+    met = _in_blocks(members, "f", "c").select("k", "p", "c", (F.col("p") != F.col("largest")).alias("asks"), "text")
+    found = saved(met.mapInArrow(_linked(shingle, *threshold), "a long, b long"))
+    parts = components(edges.union(found))
     group = classes.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("h1", "h2", "low", F.coalesce("component", "c").alias("p"))
     low = group.groupBy("p").agg(F.min("low").alias("component_id"))
     label = group.join(low, "p").select("h1", "h2", "p", "component_id")
