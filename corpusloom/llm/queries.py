@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, html_extract, line_dedup, lm_score, near_dedup, packing, secrets, toxicity, vector_dedup
+from corpusloom.llm import decontaminate, html_extract, line_dedup, lm_score, near_dedup, packing, secrets, suffix_dedup, toxicity, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +220,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, words = lm_score.learn(docs.where(~held))
     scored = lm_score.score(docs, model, words)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
