@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
-from corpusloom.llm.tables import ROW, keyed, need
+from corpusloom.llm.tables import ROW, boxed, keyed, need, stable
 
 WINDOW = 10
 SHARD_BYTES = 6 << 20
@@ -242,8 +242,10 @@ def _union(found: DataFrame) -> DataFrame:
     return g.select(ROW, "doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def _cut(text: str, spans: list) -> str | None:
+def _cut(text, spans):
     """The text without the bytes of the spans; nothing where no word is left."""
+    if spans is None:
+        return None
     raw, out, at = text.encode(), [], 0
     for s in spans:
         out.append(raw[at : s["first"]])
@@ -253,10 +255,14 @@ def _cut(text: str, spans: list) -> str | None:
 
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with every removal span cut out of its text; a text that loses all its words goes."""
-    hits = find_benchmark(docs, benchmark, window).where("n_hit > 0").select(ROW, "spans")
-    left = keyed(docs).join(hits, ROW, "left")
+    """``docs`` with every removal span cut out of its ``text``; a text that loses all its words goes.
+
+    Rows without hits stay as they are, null texts included; all columns stay.
+    """
+    docs = stable(docs)
+    hits = find_benchmark(docs, benchmark, window).where("n_hit > 0").select(ROW, F.col("spans").alias("__spans"))
+    left = boxed(docs).join(hits, ROW, "left")
     cut = F.udf(_cut, "string")
-    kept = left.withColumn("__cut", F.when(F.col("spans").isNotNull(), cut("text", "spans")))
-    kept = kept.where("spans is null or __cut is not null").withColumn("text", F.coalesce("__cut", "text"))
-    return kept.select(*docs.columns)
+    text = F.when(F.col("__spans").isNotNull(), F.col("__doc.text"))
+    left = left.withColumn("__cut", cut(text, "__spans")).where("__spans is null or __cut is not null")
+    return left.select(F.col("__doc").withField("text", F.coalesce("__cut", "__doc.text")).alias("__doc")).select("__doc.*")

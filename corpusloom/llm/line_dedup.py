@@ -8,13 +8,10 @@ doc_id) stays, so that no text is lost from the corpus, and all others go.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tables import ROW, keyed, need, saved
+from corpusloom.llm.tables import ROW, boxed, keyed, need, saved, stable
 from corpusloom.operators.scale import fits, join_lookup
 
 MIN_SITES = 5
@@ -48,14 +45,28 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact.where(F.col("n") >= min_sites).select("h1", "h2", "first"))
 
 
+_CUT = "text string, n_lines long, n_removed long, n_left long"
+
+
+def _cut(text, gone):
+    """The text without the lines at the given places, and line counts; nothing for untouched rows."""
+    if text is None or gone is None:
+        return None
+    lines, gone = text.split("\n"), set(gone)
+    kept = [x for i, x in enumerate(lines) if i not in gone]
+    return "\n".join(kept), len(lines), len(gone), sum(1 for x in kept if x.strip())
+
+
 def line_spread_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """``docs`` with repeated boilerplate lines removed from ``text``; all columns and all rows stay.
+    """``docs`` with repeated boilerplate lines removed from ``text``; all rows and columns stay.
 
     A line is what stands between line feeds, compared without white space around it; blank lines are
     never removed.  Null texts stay null, empty ones empty; a null site is a site of its own; equal rows
-    are separate occurrences; an empty table gives no rows.  Adds n_lines (lines of the input text, 0 for
-    null), n_removed and n_left (lines with words left).
+    are separate occurrences; an empty table gives no rows.  Adds ``line_dedup``, a struct (a column of that
+    name is replaced): n_lines (lines of the input text, 0 for null), n_removed and n_left (lines with
+    words left; null where nothing was removed).
     """
+    docs = stable(docs)
     helper = need(docs, "doc_id", "text", site).withColumnRenamed(site, "site")
     rows = keyed(helper).withColumn("site", F.coalesce(F.col("site").cast("string"), F.lit("\x00none")))
     lines = _lines(rows)
@@ -63,26 +74,14 @@ def line_spread_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "
     few = fits(found)
     hit = join_lookup(lines.select(ROW, "pos", "h1", "h2"), found, ["h1", "h2"], [ROW, "pos"], few)
     gone = hit.where(~((F.col(ROW) == F.col(f"first.{ROW}")) & (F.col("pos") == F.col("first.pos"))))
-    gone = gone.groupBy(ROW).agg(F.sort_array(F.collect_list("pos")).alias("__gone"))
-    names = docs.columns
-    both = keyed(docs).join(gone, ROW, "left").select(*names, "__gone")
-    at = names.index("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts, removed, left = [], [], [], []
-            for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                parts = [] if text is None else text.split("\n")
-                drop = set(drop or ())
-                kept = [x for i, x in enumerate(parts) if i not in drop] if drop else parts
-                texts.append(None if text is None else "\n".join(kept))
-                counts.append(len(parts))
-                removed.append(len(drop))
-                left.append(sum(1 for x in kept if x.strip()))
-            cols = list(batch.columns[: len(names)])
-            cols[at] = pa.array(texts, pa.string())
-            more = [pa.array(x, pa.int64()) for x in (counts, removed, left)]
-            yield pa.RecordBatch.from_arrays([*cols, *more], names=[*names, "n_lines", "n_removed", "n_left"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_removed long, n_left long"
-    return both.mapInArrow(cut, schema)
+    gone = gone.groupBy(ROW).agg(F.collect_list("pos").alias("__gone"))
+    both = boxed(docs).join(gone, ROW, "left")
+    cut = F.udf(_cut, _CUT)
+    text = F.when(F.col("__gone").isNotNull(), F.col("__doc.text"))
+    both = both.withColumn("__cut", cut(text, "__gone"))
+    n_lines = F.when(F.col("__doc.text").isNull(), 0).otherwise(F.size(F.split("__doc.text", "\n", -1))).cast("long")
+    counts = F.struct(
+        F.coalesce("__cut.n_lines", n_lines).alias("n_lines"), F.coalesce("__cut.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.col("__cut.n_left").alias("n_left")
+    )
+    doc = F.col("__doc").withField("text", F.coalesce("__cut.text", "__doc.text")).withField("line_dedup", counts)
+    return both.select(doc.alias("__doc")).select("__doc.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
-from corpusloom.llm.tables import ROW, components, keyed, need, saved
+from corpusloom.llm.tables import ROW, boxed, components, keyed, need, saved, stable
 
 SHINGLE = 5
 THRESHOLD = (80, 100)
@@ -341,5 +341,6 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, i
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group kept, the one with the smallest doc_id; all columns stay."""
+    docs = stable(docs)
     gone = near_groups(docs, shingle, threshold).where("not leader").select(ROW)
-    return keyed(docs).join(gone, ROW, "left_anti").select(*docs.columns)
+    return boxed(docs).join(gone, ROW, "left_anti").select("__doc.*")

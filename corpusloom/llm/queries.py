@@ -205,7 +205,7 @@ FROM j GROUP BY doc_id
 @query("op2_line_dedup", _OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.line_spread_dedup(table(spark, sf_dir, "documents"), min_sites=5)
-    return left.select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept_text"))
+    return left.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.col("text").alias("kept_text"))
 
 
 @query("op5_html_extraction")

@@ -18,18 +18,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if two scans of it split the same way: a file scan or a checkpoint; anything else is checkpointed."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    ops = (re.sub(r"^[\s:+|-]*", "", line) for line in plan.splitlines() if line.strip())
+    return df if all(o.startswith(("Project", "Filter", "Relation", "LogicalRDD")) for o in ops) else saved(df)
+
+
 def keyed(df: DataFrame) -> DataFrame:
-    """Adds ``__row``, a unique integer that a second scan gives again.
+    """Adds ``__row``, a unique integer that a second scan gives again."""
+    return stable(df).withColumn(ROW, F.monotonically_increasing_id())
 
-    Only file scans and checkpoints split the same way each time; anything else is checkpointed first.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    ops = {m for line in plan.splitlines() if (m := re.sub(r"^[\s:+|-]*", "", line).split(" ")[0].rstrip(","))}
-    if not ops <= {"Project", "Filter", "Relation", "RelationV2", "LogicalRDD"} and not all(
-        o.startswith(("Project", "Filter", "Relation", "LogicalRDD")) for o in ops
-    ):
-        df = saved(df)
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+
+def boxed(df: DataFrame) -> DataFrame:
+    """``__row`` and the whole row as ``__doc``, so that no column of it can clash with a helper's; ``df`` is stable."""
+    return keyed(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc")))
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:
