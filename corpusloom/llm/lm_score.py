@@ -167,7 +167,7 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[n
         # likelihood over the suffix with one occurrence held out; grams that were left out count with the suffix's weight
         held = np.maximum(n - 1 - DISCOUNT, 0) / np.maximum(all_n - 1, 1) + left[at] * suffix
         gain = np.bincount(at, n * np.log(held / suffix), len(context))
-        gain += (total - np.bincount(at, n, len(context))) * np.log(np.maximum(left, 1e-12))
+        gain = gain + (total - np.bincount(at, n, len(context))) * np.log(np.maximum(left, 1e-12))
         stays = gain > GAIN if length else np.ones(len(context), bool)
         number = stays[at]
         tree.grams.append(key[number])
