@@ -183,15 +183,29 @@ def _confirm(size: int, least: int, of: int):
 
 
 def _in_blocks(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Rows sorted by group ``k``, in which any two rows of one ``key`` meet and which has a bounded size.
+    """Rows in groups ``k`` of a bounded size, in which each asking row of a ``key`` meets all rows of it.
 
-    A key of more than ``BLOCK`` rows is dealt into parts, and each pair of parts is a group.
+    ``df`` has a column ``asks``.  Asking rows are dealt into parts and so are all rows; a group is a part of
+    the ones (``role`` true) and a part of the others.  Sorted by ``k``.
     """
-    parts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__parts"))
-    rows = df.join(parts, key).withColumn("__i", F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
-    rows = rows.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    rows = rows.withColumn("k", F.xxhash64(key, F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("__parts", "__i", "__j")
-    return rows.repartition("k").sortWithinPartitions("k")
+    count = lambda c: F.ceil(F.sum(c) / F.lit(BLOCK)).cast("int")
+    parts = df.groupBy(key).agg(count(F.lit(1)).alias("__all"), count(F.col("asks").cast("int")).alias("__ask"))
+    rows = df.join(parts.where("__ask > 0"), key)
+    spot = F.xxhash64(member)
+    rows = rows.withColumn("__a", F.pmod(spot, F.col("__ask")).cast("int")).withColumn("__b", F.pmod(spot, F.col("__all")).cast("int"))
+    places = F.expr(
+        "concat(transform(sequence(0, __ask - 1), x -> struct(x as a, __b as b, false as role)),"
+        " if(asks, transform(sequence(0, __all - 1), x -> struct(__a as a, x as b, true as role)), array()))"
+    )
+    rows = rows.withColumn("__at", F.explode(places)).withColumn("k", F.xxhash64(key, "__at.a", "__at.b")).withColumn("role", F.col("__at.role"))
+    return rows.drop("__all", "__ask", "__a", "__b", "__at").repartition("k").sortWithinPartitions("k")
+
+
+def _asking(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` with ``asks``: whether the row's label is not the most frequent one of its ``key``."""
+    n = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("__n"))
+    most = n.groupBy(key).agg(F.max_by(label, F.struct("__n", label)).alias("__most"))
+    return df.join(most, key).withColumn("asks", F.col(label) != F.col("__most")).drop("__most")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -212,14 +226,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _alike_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest over the components of a bucket that have classes with alike signatures."""
+    """A forest over the families of a bucket that have classes with alike signatures."""
     for rows in _groups(batches):
         p, at = np.unique(rows.column("p").to_numpy(), return_inverse=True)
+        role = rows.column("role").to_numpy(zero_copy_only=False)
         sig = A.text_bytes(rows.column("sig"))[0].view(np.uint32).reshape(-1, SLOTS)
-        label, main = np.arange(len(p)), np.bincount(at).argmax()
-        for i in np.flatnonzero(at != main).tolist():
-            near = at[(sig == sig[i]).sum(axis=1) >= LEAST_EQUAL]
-            seen = np.unique(label[near])
+        at = at.reshape(-1)
+        label, members, home = np.arange(len(p)), sig[~role], at[~role]
+        for i in np.flatnonzero(role).tolist():
+            near = home[(members == sig[i]).sum(axis=1) >= LEAST_EQUAL]
+            seen = np.unique(label[np.r_[near, at[i]]])
             if len(seen) > 1:
                 label[np.isin(label, seen)] = seen[0]
         far = np.flatnonzero(label != np.arange(len(p)))
@@ -238,7 +254,7 @@ def _linked(size: int, least: int, of: int):
             distinct, code = np.unique(s, return_inverse=True)
             code, mark = code.reshape(-1), np.zeros(len(distinct), np.int64)
             a, b = [], []
-            for i in np.flatnonzero(rows.column("asks").to_numpy(zero_copy_only=False)).tolist():
+            for i in np.flatnonzero(rows.column("role").to_numpy(zero_copy_only=False)).tolist():
                 mine = code[at[i] : at[i + 1]]
                 mark[mine] = 1
                 common = np.add.reduceat(mark[code], at[:-1])
@@ -275,8 +291,13 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select(ROW, "text").mapInArrow(_only(np.sort(some)), "__row long, text string")
 
 
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs of classes whose full shingle sets are similar enough."""
+def _labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(c, p): each class with its component."""
+    return nodes.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", F.coalesce("component", "c").alias("p"))
+
+
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes with alike signatures, and those of them whose full shingle sets are similar enough."""
     sig = classes.select("c", "sig")
     both = pairs.join(sig.select(F.col("c").alias("a"), F.col("sig").alias("x")), "a")
     both = both.join(sig.select(F.col("c").alias("b"), F.col("sig").alias("y")), "b")
@@ -284,7 +305,7 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     text = _texts_of(rows, near.select(F.col("a").alias(ROW)).union(near.select(F.col("b").alias(ROW))))
     both = near.join(text.select(F.col(ROW).alias("b"), F.col("text").alias("y")), "b")
     both = both.join(text.select(F.col(ROW).alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    return saved(both.mapInArrow(_confirm(size, *threshold), "a long, b long"))
+    return near, saved(both.mapInArrow(_confirm(size, *threshold), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -304,25 +325,25 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, i
     shared = bands.groupBy("band").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
     bands = saved(bands.join(shared, "band"))
     pairs = bands.where("c > a").select("a", F.col("c").alias("b")).distinct()
-    edges = _verified(rows, classes, pairs, shingle, threshold)
+    alike, edges = _verified(rows, classes, pairs, shingle, threshold)
     parts = components(edges)
-    # Buckets whose classes are in several components: which components look alike?
-    placed = bands.select("band", "c").join(parts.select(F.col("node").alias("c"), "component"), "c", "left")
-    placed = placed.select("band", "c", F.coalesce("component", "c").alias("p"))
-    open_ = placed.groupBy("band").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 < p1").select("band")
+    # A family holds the components whose signatures are alike; buckets show which families are.
+    families = _labelled(classes.select("c"), components(alike))
+    placed = _asking(bands.select("band", "c").join(families, "c"), "band", "p")
+    open_ = placed.where("asks").select("band").distinct()
     placed = placed.join(open_, "band").join(classes.select("c", "sig"), "c")
-    families = components(saved(_in_blocks(placed, "band", "c").select("k", "p", "sig").mapInArrow(_alike_parts, "a long, b long")))
-    # All classes of a family of such components are compared on their full sets.
-    home = classes.select("c").join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", F.coalesce("component", "c").alias("p"))
-    family = families.select(F.col("node").alias("p"), F.col("component").alias("f"))
-    family = family.union(family.select(F.col("f").alias("p"), "f").distinct())
-    home = saved(home.join(family, "p"))
-    largest = home.groupBy("f", "p").agg(F.count(F.lit(1)).alias("n")).groupBy("f").agg(F.max_by("p", F.struct("n", "p")).alias("largest"))
+    joined = saved(_in_blocks(placed, "band", "c").select("k", "p", "sig", "role").mapInArrow(_alike_parts, "a long, b long"))
+    if not joined.isEmpty():
+        families = _labelled(classes.select("c"), components(alike.union(joined)))
+    # The classes of a family are compared across its components on their full sets.
+    home = _labelled(classes.select("c"), parts).join(families.withColumnRenamed("p", "f"), "c")
+    home = _asking(home, "f", "p")
+    home = saved(home.join(home.where("asks").select("f").distinct(), "f"))
     text = _texts_of(rows, home.select(F.col("c").alias(ROW)))
-    members = home.join(largest, "f").join(text.withColumnRenamed(ROW, "c"), "c")
-    met = _in_blocks(members, "f", "c").select("k", "p", "c", (F.col("p") != F.col("largest")).alias("asks"), "text")
+    met = _in_blocks(home.join(text.withColumnRenamed(ROW, "c"), "c"), "f", "c").select("k", "p", "c", "role", "text")
     found = saved(met.mapInArrow(_linked(shingle, *threshold), "a long, b long"))
-    parts = components(edges.union(found))
+    if not found.isEmpty():
+        parts = components(edges.union(found))
     group = classes.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("h1", "h2", "low", F.coalesce("component", "c").alias("p"))
     low = group.groupBy("p").agg(F.min("low").alias("component_id"))
     label = group.join(low, "p").select("h1", "h2", "p", "component_id")
