@@ -28,11 +28,11 @@ WHOLE = 0.15
 DISCOUNT = 0.75
 #: Log-likelihood that a context must gain over its suffix.
 GAIN = 4.0
-#: Grams rarer than this share of all symbols are left to their suffixes: at most 2**22 grams of each length remain.
-SHARE = 2.0**-22
+#: Grams rarer than this share of all symbols are left to their suffixes: at most 2**21 grams of each length remain.
+SHARE = 2.0**-21
 #: Words with a share of all tokens of at least this are sent to every task: at most 2**18 of them.
 WORD_SHARE = 2.0**-18
-HOLD = 3_000_000
+HOLD = 1_000_000
 BLANK, END = 32, 10
 WORDS = A.byte_class("space")
 END_WORD = int(A.word_hash(np.array([END], np.uint8), np.array([0]), np.array([1])).view(np.int64)[0])
