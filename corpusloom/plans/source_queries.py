@@ -37,31 +37,44 @@ def _(spark, sf):
     return t.select(F.substring_index("path", "/", -1).alias("file_name"), F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("scan_csv_as_text")
+@query(
+    "scan_csv_as_text",
+    """SELECT 'p_partkey: ' || p_partkey || ' | p_name: ' || p_name || ' | p_size: ' || p_size AS text FROM part
+ UNION ALL SELECT 's_suppkey: ' || s_suppkey || ' | s_name: ' || s_name AS text FROM supplier""",
+)
 def _(spark, sf):
+    """Two tables with different headers in one folder."""
     d = _dir(spark)
-    X.table(spark, sf, "part").write.option("header", True).csv(d)
+    X.table(spark, sf, "part").select("p_partkey", "p_name", "p_size").write.option("header", True).csv(f"{d}/a")
+    X.table(spark, sf, "supplier").select("s_suppkey", "s_name").write.option("header", True).csv(f"{d}/b")
     return R.scan_csv_as_text(spark, d).select("text")
 
 
-@query("scan_json_as_text")
+@query(
+    "scan_json_as_text",
+    """SELECT '{' || chr(10) || '  "conv_id": ' || conv_id || ',' || chr(10) || '  "turn": ' || turn || ',' || chr(10) || '  "role": ' || to_json(role) || ',' || chr(10)
+ || '  "text": ' || to_json(text) || chr(10) || '}' AS text FROM conversations""",
+)
 def _(spark, sf):
     d = _dir(spark)
-    X.table(spark, sf, "conversations").write.json(d)
-    j = spark.read.json(d)
-    return j.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"pretty": "true"}).alias("text"))
+    X.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").write.json(d)
+    return R.scan_json_as_text(spark, d).select("text")
 
 
-@query("scan_xml_as_text")
+@query(
+    "scan_xml_as_text",
+    """SELECT '<row>' || chr(10) || '    <s_name>' || s_name || '</s_name>' || chr(10) || '    <s_suppkey>' || s_suppkey || '</s_suppkey>' || chr(10) || '</row>' AS text FROM supplier""",
+)
 def _(spark, sf):
     d = _dir(spark)
-    X.table(spark, sf, "supplier").write.format("xml").option("rowTag", "row").save(d)
-    x = spark.read.format("xml").option("rowTag", "row").load(d)
-    return x.select("s_suppkey", F.to_xml(F.struct("s_suppkey", "s_name"), {"rowTag": "row"}).alias("text"))
+    X.table(spark, sf, "supplier").select("s_suppkey", "s_name").write.format("xml").option("rowTag", "row").save(d)
+    return R.scan_xml_as_text(spark, d, "row", glob="*").select("text")
 
 
 def _html_sql() -> str:
-    t = D.rsub("html", r"(?is)<(script|style|head|nav|footer)\b[^>]*>.*?</(script|style|head|nav|footer)>", " ")
+    t = "html"
+    for tag in ("script", "style", "head", "nav", "footer"):
+        t = D.rsub(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     t = D.rsub(t, r"(?s)<!--.*?-->|<![A-Za-z][^>]*>", " ")
     t = D.rsub(t, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|article|section|tr|table)\b[^>]*>", "\n")
     t = D.rsub(t, r"<[^>]+>", "")
@@ -85,14 +98,20 @@ def _(spark, sf):
     return R.flatten_parts(p, "doc_id", "i", "p")
 
 
-@query("loader_dispatch")
+@query(
+    "loader_dispatch",
+    """SELECT 'txt' AS ext, sum(length(text) + 1) AS n, 0 AS n_errors FROM documents UNION ALL
+ SELECT 'csv', count(*), 0 FROM part UNION ALL SELECT 'json', count(*), 0 FROM conversations""",
+)
 def _(spark, sf):
+    """Records by format; texts, which are whole files, by characters."""
     d = _dir(spark)
     _by_source(spark, sf).select("text").write.text(f"{d}/docs")
     X.table(spark, sf, "part").select("p_partkey", "p_name").write.option("header", True).csv(f"{d}/parts")
-    X.table(spark, sf, "conversations").where("turn = 0").write.json(f"{d}/chats")
+    X.table(spark, sf, "conversations").write.json(f"{d}/chats")
     r = R.loader_dispatch(spark, d)
-    return r.groupBy("ext").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("error").isNotNull().cast("bigint")).alias("n_errors"))
+    n = F.when(F.col("ext") == "txt", F.length("text")).otherwise(1)
+    return r.groupBy("ext").agg(F.sum(n.cast("bigint")).alias("n"), F.sum(F.col("error").isNotNull().cast("bigint")).alias("n_errors"))
 
 
 @query("scan_qa_runs", "SELECT event_type AS category, count(*) AS n_runs, round(sum(value), 4) AS seconds FROM events GROUP BY 1")
