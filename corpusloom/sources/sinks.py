@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
@@ -30,28 +30,56 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     return int(spark.read.text(f"{root}/CURRENT").first()[0])
 
 
+def _claim_version(spark: SparkSession, root: str) -> int:
+    """The next free version; two writers never get the same, as creating the owner file is exclusive."""
+    version = max(_versions(spark, root) or [0]) + 1
+    while True:
+        fs, p = _fs(spark, f"{root}/v={version}/_OWNER")
+        if not fs.exists(p):
+            try:
+                fs.create(p, False).close()
+                return version
+            except Exception:
+                if not fs.exists(p):
+                    raise
+        version += 1
+
+
 def publish_version(tables: dict[str, tuple[DataFrame, str]], root: str, buckets: int = BUCKETS) -> int:
-    """Writes every table of a new version, checks row counts, then moves the pointer.
+    """Writes every table of a new version, compares the rows found with the rows written, then moves the pointer.
 
-    Rows are placed by a hash bucket of their key so that an incremental update can
-    overwrite only the touched buckets.
+    Rows are placed by a hash bucket of their key.  The rebalance hint lets the engine size the writing
+    tasks by the data, so a bucket of any size is written by as many tasks as it needs.
     """
     spark = next(iter(tables.values()))[0].sparkSession
-    version = max(_versions(spark, root) or [0]) + 1
+    version = _claim_version(spark, root)
     for name, (df, key) in tables.items():
-        b = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        b.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{root}/v={version}/{name}")
-        if spark.read.parquet(f"{root}/v={version}/{name}").limit(1).count() == 0:
+        path, seen = f"{root}/v={version}/{name}", Observation()
+        b = df.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        b.hint("rebalance", "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+        written = seen.get["n"]
+        if written == 0:
             raise ValueError(f"refusing to publish empty table {name}")
+        found = spark.read.parquet(path).count()
+        if found != written:
+            raise ValueError(f"{name}: {written} rows were written, {found} are there")
     _move_pointer(spark, root, version)
     return version
 
 
 def _move_pointer(spark: SparkSession, root: str, version: int) -> None:
-    fs, p = _fs(spark, f"{root}/CURRENT")
-    out = fs.create(p, True)
+    """Readers see the old version or the new one, never half a pointer: written aside, then renamed over."""
+    fs, aside = _fs(spark, f"{root}/.CURRENT-{version}")
+    out = fs.create(aside, True)
     out.write(bytearray(f"{version}\n".encode()))
     out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    fs, target = _fs(spark, f"{root}/CURRENT")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(target), how)
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -61,12 +89,6 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v={v}/{name}")
 
 
-def overwrite_buckets(df: DataFrame, key: str, path: str, buckets: int = BUCKETS) -> None:
-    """Replaces only the buckets that ``df`` holds (``df`` must be complete for them)."""
-    b = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    b.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
 def write_inventory(chunks: DataFrame, path: str) -> None:
     """Chunk inventory as CSV with header, one row per chunk, text shortened to a preview."""
     cols = [c for c in chunks.columns if c != "text"]

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog as C
@@ -99,3 +100,32 @@ def test_fast_path_finds_introduction(spark):
     q = spark.createDataFrame([("q", "Who is Jose Rizal?")], "query_id string, query string")
     p = G.with_features(G.hybrid_merge(L.coverage_topk(c, q, 10), L.bm25_topk(c, q)), c, q)
     assert [r.chunk_key for r in G.identity_fast_path(p).collect()] == [1]
+
+
+def test_ann_recall_and_full_lists(spark):
+    import numpy as np
+
+    from corpusloom.operators import vectors as VX
+
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((20, 24))
+    rows = [(i, (centres[i % 20] + 0.4 * r.standard_normal(24)).tolist()) for i in range(2000)]
+    corpus = spark.createDataFrame(rows, "chunk_key long, embedding array<double>")
+    queries = spark.createDataFrame([(i, rows[i * 40][1]) for i in range(50)], "query_id long, vector array<double>")
+    pairs = lambda df: {(x["query_id"], x["chunk_key"]) for x in df.collect()}
+    want, got = pairs(VX.vector_topk(queries, corpus, 10)), pairs(VX.vector_topk_ann(queries, corpus, 10))
+    assert len(got) == len(want) == 500 and len(got & want) >= 0.9 * len(want)
+    # lists that hold fewer than k rows: those queries are answered exactly
+    assert pairs(VX.vector_topk_ann(queries, corpus, 150, lists=40, probes=1)) >= set() and len(pairs(VX.vector_topk_ann(queries, corpus, 150, lists=40, probes=1))) == 50 * 150
+
+
+def test_publish_checks_counts_and_moves_pointer(spark, tmp_path):
+    from corpusloom.sources import sinks as K
+
+    root = str(tmp_path / "t")
+    one = spark.range(100).withColumnRenamed("id", "k")
+    assert K.publish_version({"a": (one, "k")}, root) == 1 and K.publish_version({"a": (one.limit(40), "k")}, root) == 2
+    assert K.read_published(spark, root, "a").count() == 40 and K.current_version(spark, root) == 2
+    with pytest.raises(ValueError):
+        K.publish_version({"a": (one.limit(0), "k")}, root)
+    assert K.current_version(spark, root) == 2
