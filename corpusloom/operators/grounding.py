@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.scale import top_k_per
 
 # Claim patterns.
 CITED = r"\b((?:rule|directive|dir|section|article|chapter|part)\.?\s+[0-9]+(?:\.[0-9]+)*)\b"
@@ -148,3 +149,53 @@ def temporal_compare(texts: DataFrame, key: str, first: str, second: str) -> Dat
     c = F.when(F.col("first_date").isNull() | F.col("second_date").isNull(), "unknown").when(
         F.col("first_date") < F.col("second_date"), "before").when(F.col("first_date") > F.col("second_date"), "after").otherwise("same day")
     return a.join(b, key).withColumn("order", c)
+
+
+def relation_facts(texts: DataFrame, key: str, relations: dict[str, str], value: str = r"([0-9-]+)") -> DataFrame:
+    """One column per relation: the value right after its cue phrase, null where the cue has none."""
+    found = lambda cue: F.nullif(F.regexp_extract("text", rf"\b{cue} {value}", 1), F.lit(""))
+    return texts.select(key, *[found(cue).alias(name) for name, cue in relations.items()])
+
+
+def label_fact(pairs: DataFrame, questions: DataFrame, key: str) -> DataFrame:
+    """The labelled value whose label shares most content tokens with the question, the earliest of equals."""
+    asked = questions.select(key, T.meaningful_tokens("question").alias("__q"))
+    p = pairs.join(asked, key).withColumn("overlap", F.size(F.array_intersect("__q", T.meaningful_tokens("label"))).cast("bigint"))
+    p = p.where("overlap > 0")
+    return top_k_per(p, [key], [F.col("overlap").desc(), F.col("line_no").asc()], 1, "r").select(key, "label", "value", "overlap")
+
+
+def label_overview(pairs: DataFrame, key: str) -> DataFrame:
+    """All labelled values of one text as lines ``label: value``, in page order."""
+    line = F.struct("line_no", F.concat_ws(": ", "label", "value").alias("t"))
+    g = pairs.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("ts"))
+    return g.select(key, F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("overview"))
+
+
+def label_compare(pairs: DataFrame, key: str) -> DataFrame:
+    """``left_label, right_label, verdict``: the first two labelled values of a text that hold a number, compared.
+
+    Texts with fewer than two numbers are left out.
+    """
+    number = F.expr(r"try_cast(regexp_extract(value, '([0-9]+(?:[.][0-9]+)?)', 1) as double)")
+    n = pairs.withColumn("__n", number).where("__n is not null")
+    top = top_k_per(n, [key], [F.col("line_no").asc()], 2, "r")
+    side = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
+    g = top.groupBy(key).agg(side(1, "label").alias("left_label"), side(2, "label").alias("right_label"), side(1, "__n").alias("a"), side(2, "__n").alias("b"), F.count(F.lit(1)).alias("k"))
+    verdict = F.when(F.col("a") > F.col("b"), "greater").when(F.col("a") < F.col("b"), "smaller").otherwise("equal")
+    return g.where("k = 2").select(key, "left_label", "right_label", verdict.alias("verdict"))
+
+
+def section_outline(sections: DataFrame, key: str, text: str, point_words: int = 8, title_words: int = 8) -> DataFrame:
+    """Heading, introduction, subtopic titles and key points of each section text.
+
+    The first line is the heading and the second the introduction; later short lines without a closing mark
+    are subtopic titles, lines of at least ``point_words`` words are key points.
+    """
+    ls = F.filter(F.transform(F.split(text, "\n"), T.squash), lambda x: x != "")
+    rest = F.slice("ls", 3, F.greatest(F.size("ls") - 2, F.lit(0)))
+    short = lambda x: (T.word_count(x) <= title_words) & ~x.rlike(r"[.!?;,]$")
+    d = sections.select(key, ls.alias("ls"))
+    return d.select(
+        key, F.get("ls", F.lit(0)).alias("heading"), F.get("ls", F.lit(1)).alias("intro"),
+        F.filter(rest, short).alias("subtopics"), F.filter(rest, lambda x: (T.word_count(x) >= point_words) & ~short(x)).alias("key_points"))

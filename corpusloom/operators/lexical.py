@@ -99,9 +99,26 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, vocab: DataFrame | None =
     return joined.groupBy("query_id", "chunk_key").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K, vocab: DataFrame | None = None) -> DataFrame:
-    """``query_id, chunk_key, score, rank``: the k best matching chunks per query."""
-    return top_k_per(bm25_scores(chunks, queries, vocab), ["query_id"], score_order("score", "chunk_key"), k, "rank")
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K, vocab: DataFrame | None = None, pad: bool = False) -> DataFrame:
+    """``query_id, chunk_key, score, rank``: the k best matching chunks per query.
+
+    With ``pad`` a query that fewer than k chunks match is filled up with chunks of score 0 by key.
+    """
+    top = top_k_per(bm25_scores(chunks, queries, vocab), ["query_id"], score_order("score", "chunk_key"), k, "rank")
+    return _padded(top, chunks, queries, k) if pad else top
+
+
+def _padded(top: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The 2k smallest keys always hold k that a query with fewer than k matches has not matched."""
+    spare = [r[0] for r in chunks.select("chunk_key").distinct().orderBy("chunk_key").limit(2 * k).collect()]
+    n = queries.select("query_id").join(top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    short = n.select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    if not spare:
+        return top
+    extra = short.withColumn("chunk_key", F.explode(F.array(*[F.lit(x) for x in spare])))
+    extra = extra.join(top.select("query_id", "chunk_key"), ["query_id", "chunk_key"], "left_anti")
+    extra = top_k_per(extra, ["query_id"], [F.col("chunk_key").asc()], k, "r").where(F.col("r") + F.col("n") <= k)
+    return top.unionByName(extra.select("query_id", "chunk_key", F.lit(0.0).alias("score"), (F.col("r") + F.col("n")).alias("rank")))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:

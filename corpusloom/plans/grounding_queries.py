@@ -15,8 +15,8 @@ from corpusloom.plans import fixtures as X
 from corpusloom.plans.lexical_queries import bm25_sql
 from corpusloom.plans.reference_queries import _W as STD_W
 from corpusloom.plans.reference_queries import standards
-from corpusloom.plans.registry import query
-from corpusloom.plans.structure_queries import labelled_texts
+from corpusloom.plans.registry import ORACLES, query
+from corpusloom.plans.structure_queries import LABELLED_SQL, labelled_texts
 
 
 def answers(spark, sf):
@@ -171,38 +171,60 @@ def _(spark, sf):
     return first.where("order <> 'unknown'").unionByName(again).select("o_orderkey", "order")
 
 
-@query("relation_facts")
+@query(
+    "relation_facts",
+    """SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') AS signed, strftime(o_orderdate::DATE + INTERVAL (30 * length(o_orderstatus)) DAY, '%Y-%m-%d') AS ended,
+ CASE WHEN o_orderstatus = 'F' THEN '1999-12-31' END AS copied FROM orders""",
+)
 def _(spark, sf):
-    """Explicit date and quantity values per relation from every order text."""
-    t = order_texts(spark, sf)
-    return t.select("o_orderkey", F.regexp_extract("text", r"signed on ([0-9-]+)", 1).alias("signed"), F.regexp_extract("text", r"ended on ([0-9-]+)", 1).alias("ended"))
+    """Explicit date values per relation from every order text."""
+    return GR.relation_facts(order_texts(spark, sf), "o_orderkey", {"signed": "signed on", "ended": "ended on", "copied": "copy dated"})
+
+
+_PAIRS = ORACLES["label_value_pairs"]
+_HEAD = f"SELECT doc_id, {D.meaningful('head')} AS h FROM (SELECT doc_id, string_split(text, chr(10))[1] AS head FROM documents)"
+
+
+@query(
+    "label_fact",
+    f"""SELECT doc_id, label, value, overlap FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, line_no) AS r FROM (
+ SELECT doc_id, line_no, label, value, len(list_intersect(h, {D.meaningful('label')})) AS overlap FROM ({_PAIRS}) JOIN ({_HEAD}) USING (doc_id)) WHERE overlap > 0) WHERE r = 1""",
+)
+def _(spark, sf):
+    """Each document is asked about the words of its first line."""
+    asked = X.table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("question"))
+    return GR.label_fact(label_value_pairs(labelled_texts(spark, sf), "doc_id", "text"), asked, "doc_id")
 
 
-@query("label_fact")
+@query("label_overview", f"SELECT doc_id, string_agg(label || ': ' || value, chr(10) ORDER BY line_no) AS overview FROM ({_PAIRS}) GROUP BY doc_id")
 def _(spark, sf):
-    """Labelled value whose label shares most stems with the document's first line."""
-    d = labelled_texts(spark, sf)
-    head = d.select("doc_id", T.meaningful_tokens(T.first_line("text")).alias("h"))
-    p = label_value_pairs(d, "doc_id", "text").join(head, "doc_id")
-    p = p.withColumn("overlap", F.size(F.array_intersect("h", T.meaningful_tokens("label"))).cast("bigint")).where("overlap > 0")
-    return top_k_per(p, ["doc_id"], [F.col("overlap").desc(), F.col("line_no").asc()], 1, "r").select("doc_id", "label", "value", "overlap")
+    return GR.label_overview(label_value_pairs(labelled_texts(spark, sf), "doc_id", "text"), "doc_id")
 
 
-@query("label_overview")
+@query(
+    "label_compare",
+    f"""SELECT a.doc_id, a.label AS left_label, b.label AS right_label, CASE WHEN a.n > b.n THEN 'greater' WHEN a.n < b.n THEN 'smaller' ELSE 'equal' END AS verdict FROM ({{0}}) a JOIN ({{0}}) b ON a.doc_id = b.doc_id AND a.r = 1 AND b.r = 2""".format(
+        f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM (SELECT doc_id, line_no, label, try_cast(regexp_extract(value, '([0-9]+(?:[.][0-9]+)?)', 1) AS DOUBLE) AS n FROM (
+ SELECT doc_id, line_no, label, value || ' takes ' || (doc_id * 31 + line_no * 17) % 13 AS value FROM ({_PAIRS}))) WHERE n IS NOT NULL"""
+    ),
+)
 def _(spark, sf):
+    """Every labelled value gets a number, so that most documents can be compared."""
     p = label_value_pairs(labelled_texts(spark, sf), "doc_id", "text")
-    g = top_k_per(p, ["doc_id"], [F.col("line_no").asc()], 5, "r").groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("r", F.concat_ws(": ", "label", "value").alias("t")))).alias("ts"))
-    return g.select("doc_id", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("overview"))
+    n = ((F.col("doc_id") * 31 + F.col("line_no") * 17) % 13).cast("string")
+    return GR.label_compare(p.withColumn("value", F.concat("value", F.lit(" takes "), n)), "doc_id")
 
 
-@query("section_outline")
+@query(
+    "section_outline",
+    f"""SELECT doc_id, ls[1] AS heading, ls[2] AS intro, len(list_filter(ls[3:], lambda x: {{short}})) AS n_subtopics, len(list_filter(ls[3:], lambda x: len(string_split(x, ' ')) >= 8 AND NOT {{short}})) AS n_key_points
+ FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {D.squash('x')}), lambda x: x <> '') AS ls FROM ({LABELLED_SQL}))""".replace(
+        "{short}", "(len(string_split(x, ' ')) <= 8 AND NOT regexp_matches(x, '[.!?;,]$'))"
+    ),
+)
 def _(spark, sf):
-    """Heading, introduction and key lines of every document."""
-    ls = F.filter(F.transform(F.split("text", "\n"), T.squash), lambda x: x != "")
-    d = X.table(spark, sf, "documents").select("doc_id", ls.alias("ls"))
-    return d.select("doc_id", F.get("ls", F.lit(0)).alias("heading"), F.get("ls", F.lit(1)).alias("intro"), F.size("ls").cast("bigint").alias("n_lines"),
-                    F.size(F.filter("ls", lambda x: T.word_count(x) >= 8)).cast("bigint").alias("n_key_points"))
+    o = GR.section_outline(labelled_texts(spark, sf), "doc_id", "text")
+    return o.select("doc_id", "heading", "intro", F.size("subtopics").cast("bigint").alias("n_subtopics"), F.size("key_points").cast("bigint").alias("n_key_points"))
 
 
 @query(

@@ -53,6 +53,21 @@ def _(spark, sf):
     return r.select("query_id", "chunk_key", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
+@query(
+    "bm25_topk_padded",
+    f"""WITH top AS (SELECT * FROM ({bm25_sql(V.TOP_K)}) WHERE query_id % 3 <> 0),
+ n AS (SELECT q.query_id, count(t.chunk_key) AS n FROM ({X.QUERIES_SQL}) q LEFT JOIN top t USING (query_id) GROUP BY 1),
+ pad AS (SELECT query_id, chunk_key, n, row_number() OVER (PARTITION BY query_id ORDER BY chunk_key) AS r FROM n, ({X.CORPUS_SQL}) c
+  WHERE n < {V.TOP_K} AND NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = n.query_id AND t.chunk_key = c.chunk_key))
+ SELECT query_id, chunk_key, round(score, 6) AS score, rank FROM top UNION ALL SELECT query_id, chunk_key, 0.0, n + r FROM pad WHERE n + r <= {V.TOP_K}""",
+)
+def _(spark, sf):
+    """A third of the questions have words that no chunk has."""
+    q = X.queries(spark, sf).withColumn("query", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("qqzz zz"), F.col("query_id"))).otherwise(F.col("query")))
+    r = L.bm25_topk(X.corpus(spark, sf), q, pad=True)
+    return r.select("query_id", "chunk_key", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
 def coverage_sql(k: int, min_score: float, queries: str = X.QUERIES_SQL) -> str:
     qt = f"SELECT query_id, len(t) AS n, unnest(t) AS token FROM (SELECT query_id, {D.meaningful('query')} AS t FROM ({queries}))"
     ct = f"""SELECT chunk_key, token, max(b) AS b, max(h) AS h FROM (

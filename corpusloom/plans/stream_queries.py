@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpusloom.plans import duck as D
 from corpusloom.plans import fixtures as X
+from corpusloom.plans import structure_queries as SQ
 from corpusloom.plans.registry import query
 from corpusloom.session import ensure_checkpoint_dir
 from corpusloom.streaming import streams as S
@@ -60,10 +62,19 @@ def _(spark, sf):
     return spark.read.parquet(f"{d}/out").select("event_id", "user_id", "event_type")
 
 
-@query("stream_ingest")
+_AFTER = """(SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' and some more words') ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"""
+_FINAL = SQ._WIN.format(t=D.squash("c"), src=f"(SELECT doc_id, source, {SQ._CLEAN} AS c FROM {_AFTER} WHERE {SQ._SKIP} IS NULL)")
+
+
+@query("stream_ingest", f"SELECT doc_id, source, part, parts, {SQ._CHUNKT} AS chunk_text FROM ({_FINAL})")
 def _(spark, sf):
+    """Three batches: all documents, changed ones, deleted ones."""
     d = _run_dir(spark)
     docs = X.table(spark, sf, "documents").select("doc_id", "source", "text")
-    S.stream_ingest(S.read_table_stream(spark, f"{sf}/document[s].parquet", docs.schema), f"{d}/out", f"{d}/ckpt")
-    c = spark.read.parquet(f"{d}/out")
-    return c.groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("chunk_id").alias("last_chunk"))
+    changed = docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" and some more words")))
+    deleted = docs.where("doc_id % 11 = 0").withColumn("text", F.lit(None).cast("string"))
+    for seq, rows in enumerate((docs, changed, deleted)):
+        step = rows.withColumn("deleted", F.lit(seq == 2)).withColumn("seq", F.lit(seq).cast("long"))
+        step.write.mode("append").parquet(f"{d}/in")
+        S.stream_ingest(S.read_table_stream(spark, f"{d}/in", step.schema), f"{d}/out", f"{d}/ckpt")
+    return S.ingested(spark, f"{d}/out").select("doc_id", "source", "part", "parts", "chunk_text")

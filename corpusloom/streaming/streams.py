@@ -44,10 +44,27 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
     q.awaitTermination()
 
 
-def stream_ingest(docs: DataFrame, out: str, checkpoint: str) -> None:
-    """Chunks every micro-batch of documents into its own folder, so a replayed batch overwrites itself."""
+def stream_ingest(changes: DataFrame, out: str, checkpoint: str) -> None:
+    """Follows a stream of document changes (``doc_id, source, text, deleted, seq``).
+
+    Every micro-batch is one delta: the last change of each document in the batch (by ``seq``) and the chunks
+    of what it did not delete, each in a folder named by the batch, so a replayed batch overwrites itself and
+    no published row is rewritten.  ``ingested`` reads the table as of the last finished batch.
+    """
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        ingest_corpus(batch).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        last = batch.groupBy("doc_id").agg(F.max_by(F.struct("source", "text", "deleted"), "seq").alias("d")).select("doc_id", "d.*")
+        ingest_corpus(last.where("not deleted").select("doc_id", "source", "text")).write.mode("overwrite").parquet(f"{out}/chunks/batch={epoch}")
+        last.select("doc_id", "deleted").write.mode("overwrite").parquet(f"{out}/changes/batch={epoch}")
+
+    changes.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """Chunks of the documents that are there now: each document's last batch wins, deleted ones are gone.
 
-    docs.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    Chunk numbers of a source hold inside a batch; ``number_chunks`` renumbers a snapshot.
+    """
+    changes = spark.read.parquet(f"{out}/changes")
+    heads = changes.groupBy("doc_id").agg(F.max("batch").alias("batch"), F.max_by("deleted", "batch").alias("deleted")).where("not deleted")
+    return spark.read.parquet(f"{out}/chunks").join(heads.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop("batch")

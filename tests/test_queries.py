@@ -14,6 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "bm25_topk", "coverage_topk", "vector_topk", "hybrid_merge", "information_score", "neighbor_expand", "enrich_query", "extract_references", "assign_sections",
     "number_chunks", "update_plan", "reference_group", "rule_catalog", "resolve_followups", "claim_grounding", "latency_profile", "overlap_estimate", "session_activity",
+    "scan_csv_as_text", "scan_json_as_text", "scan_xml_as_text", "loader_dispatch", "stream_ingest", "bm25_topk_padded", "label_overview", "label_fact", "label_compare", "relation_facts", "section_outline",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
