@@ -13,7 +13,7 @@ from corpusloom.functions import vocab as V
 from corpusloom.operators import fusion as G
 from corpusloom.operators import lexical as L
 from corpusloom.operators import vectors as VX
-from corpusloom.operators.scale import top_k_per
+from corpusloom.operators.scale import materialized, top_k_per
 
 RESULT = ["query_id", "chunk_key", "route", "pos", "score"]
 
@@ -30,6 +30,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, exact: DataFrame | None = No
     ``queries(query_id, query)``; ``chunks`` needs ``chunk_key, file_key, file_name, title,
     text, chunk_id, total_chunks``.  ``exact`` holds rows already resolved by structured
     reference lookup (``query_id, chunk_key, pos``).
+
+    The feature pool, the fast answers and the final rows are read by several later stages; each is computed
+    once (candidates only, so they grow with the questions), and so no stage plans its predecessors again.
     """
     done = []
     todo = queries
@@ -39,13 +42,13 @@ def retrieve(queries: DataFrame, chunks: DataFrame, exact: DataFrame | None = No
         todo = _without(todo, e)
     lex = L.bm25_topk(chunks, todo)
     vec = L.coverage_topk(chunks, todo, V.TOP_K)
-    pool = G.with_features(G.hybrid_merge(vec, lex), chunks, todo)
-    fast_i = G.identity_fast_path(pool).select(
-        "query_id", "chunk_key", F.lit("identity_fast").alias("route"), F.lit(1).alias("pos"), "score")
+    pool = materialized(G.with_features(G.hybrid_merge(vec, lex), chunks, todo))
+    fast_i = materialized(G.identity_fast_path(pool).select(
+        "query_id", "chunk_key", F.lit("identity_fast").alias("route"), F.lit(1).alias("pos"), "score"))
     fast_r = G.relation_fast_path(pool).select(
         "query_id", "chunk_key", F.lit("relation_fast").alias("route"), F.lit(1).alias("pos"), "score")
     fast_r = _without(fast_r, fast_i)
-    fast = fast_i.unionByName(fast_r)
+    fast = materialized(fast_i.unionByName(fast_r))
     rest = _without(pool, fast)
     useful = G.identity_noise_filter(G.low_value_filter(G.informative_order(rest.drop("prior_rank"))))
     ranked = VX.rescore_pairs(useful.drop("prior_rank"))
@@ -53,8 +56,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, exact: DataFrame | None = No
     ok = G.rerank(ok.drop("prior_rank").withColumnRenamed("rank", "prior_rank"), F.col("prior_rank").asc())
     capped = G.diversity_cap(ok, G.per_file_cap())
     final_k = F.when(F.col("list_query"), V.COMPLETENESS_TOP_K).otherwise(V.FINAL_TOP_K)
-    final = top_k_per(capped, ["query_id"], [F.col("rank").asc()], final_k, "pos").select(
-        "query_id", "chunk_key", F.lit("hybrid").alias("route"), "pos", F.col("rescore").alias("score"))
+    final = materialized(top_k_per(capped, ["query_id"], [F.col("rank").asc()], final_k, "pos").select(
+        "query_id", "chunk_key", F.lit("hybrid").alias("route"), "pos", F.col("rescore").alias("score")))
     saved = G.empty_rescue(_without(todo, fast), final, chunks).select(
         "query_id", "chunk_key", F.lit("rescue").alias("route"), "pos", F.col("rescore").alias("score"))
     for part in (fast, final, saved):

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import ensure_checkpoint_dir
+
 BLOCK_WIDTH = 1 << 16
 HOT_KEY_SALTS = 16
 _B = "__block"
@@ -91,6 +93,12 @@ def join_lookup(
     return salted_join(big, lookup, on, salt_by, how)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder: for results that several later steps read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Gives a scan with fewer splits than cores one split per core; larger inputs are untouched."""
     cores = df.sparkSession.sparkContext.defaultParallelism
