@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
-from corpusloom.llm.tables import ROW, keyed, need, saved
+from corpusloom.llm.tables import ROW, keyed, need, saved, split_by_keys
 
 LENGTH = 400
 GRAM = 64
@@ -276,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     some = contexts.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     other = saved(contexts.join(some, "m").select("m", "k", "r.*"))
     listed = lambda df: df.groupBy(ROW).agg(F.collect_list(F.struct("m", "p", "i0", "i1")).alias("runs"))
-    text = rows.select(ROW, "text")
+    text, _ = split_by_keys(rows.select(ROW, "text"), other)
     plain = text.join(listed(other.where(F.col("k") <= HOT)), ROW).select(ROW, "text", "runs").mapInArrow(_contexts(length), _CONTEXTS)
     found = plain.repartition("m").sortWithinPartitions("m").mapInArrow(_sorted_spans(length), _SPANS)
     spans = spans.unionByName(found)
@@ -327,5 +327,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     """
     rows, spans = repeated_spans(docs, length, gram)
     per = saved(spans.groupBy(ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    both = rows.join(per, ROW, "left").select("doc_id", "text", "spans")
+    cut, whole = split_by_keys(rows, per)
+    both = cut.join(per, ROW, "left").select("doc_id", "text", "spans")
+    if whole is not None:
+        both = both.unionByName(whole.select("doc_id", "text", F.lit(None).cast("array<struct<first:long, last:long>>").alias("spans")))
     return both.mapInArrow(_cut(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -35,6 +35,23 @@ def boxed(df: DataFrame) -> DataFrame:
     return keyed(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__doc")))
 
 
+#: Row keys sent to every task at once: 8 MB.
+KEYS_SENT = 1_000_000
+
+
+def split_by_keys(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``df`` that may have one of the ``__row`` keys, and the rest if it could be told apart.
+
+    Spares texts a shuffle before a join.  Keys are counted first and sent to every task only when they are
+    few; with more of them all rows are returned, and the join that follows does the work.
+    """
+    keys = keys.select(ROW).distinct()
+    if keys.limit(KEYS_SENT + 1).count() > KEYS_SENT:
+        return df, None
+    few = F.broadcast(keys)
+    return df.join(few, ROW, "left_semi"), df.join(few, ROW, "left_anti")
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, under these names; other columns cannot clash with helper columns."""
     return df.select(*columns)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import arrays as A
 from corpusloom.llm.tables import ROW, keyed, need
 
-MOST_TOXIC = 1200
-MOST_CLEAN = 2400
+MOST_TOXIC = 700
+MOST_CLEAN = 1400
 WINDOW = 48
 STRIDE = 36
 VOCABULARY = 20_000
