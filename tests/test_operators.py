@@ -129,3 +129,20 @@ def test_publish_checks_counts_and_moves_pointer(spark, tmp_path):
     with pytest.raises(ValueError):
         K.publish_version({"a": (one.limit(0), "k")}, root)
     assert K.current_version(spark, root) == 2
+
+
+def test_salted_branches_give_the_same_rows(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "leave", "policy", "holiday", "notice"]
+    rows = [(f"c{i}", "f", "f", " ".join(words[(i * j) % 8] for j in range(1, 12)), words[i % 8] + " title", i, 40) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_key string, file_key string, file_name string, text string, title string, chunk_id long, total_chunks long")
+    queries = spark.createDataFrame([(1, "holiday policy notice"), (2, "gamma delta"), (3, "nothing here")], "query_id long, query string")
+
+    def results():
+        out = [L.bm25_topk(chunks, queries, 5), L.coverage_topk(chunks, queries, 5)]
+        out.append(G.with_text(out[0], chunks, queries).select("query_id", "chunk_key", "rank", "text"))
+        return [sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr) for df in out]
+
+    small = results()
+    monkeypatch.setattr(L, "fits", lambda *a, **k: False)
+    monkeypatch.setattr(G, "fits", lambda *a, **k: False)
+    assert results() == small and all(small)
