@@ -37,7 +37,11 @@ class Words:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         data = A.fold(data)
         starts, ends, self.bounds = A.words(data, off, WORDS)
-        self.hash, first, inverse = np.unique(A.word_hash(data, starts, ends), return_index=True, return_inverse=True)
+        hashes = [np.zeros(0, np.uint64)]
+        for lo, hi, part, _ in A.pieces(data, off, PIECE):
+            w = slice(self.bounds[lo], self.bounds[hi])
+            hashes.append(A.word_hash(part, starts[w] - off[lo], ends[w] - off[lo]))
+        self.hash, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         self.token = inverse.reshape(-1)
         s, e = starts[first], ends[first]
         n = e - s
@@ -146,7 +150,7 @@ class Network:
         at = np.minimum(start[None, :] + step, len(words.token) - 1)
         return np.where(mask, words.token[at], len(words.hash)), mask.astype(np.float32)
 
-    def logits(self, words: Words, start: np.ndarray, size: np.ndarray, block: int = 4096) -> np.ndarray:
+    def logits(self, words: Words, start: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
         gates = self.inputs(words) @ self.p["w"] + self.p["b"]
         out = np.empty(len(start), np.float32)
         k = 3 * STATE
