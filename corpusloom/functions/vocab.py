@@ -96,20 +96,21 @@ LIST_CUE_PATTERN = (
 )
 
 # ---- retrieval intent patterns --------------------------------------------------------
+# Question starters.
 LIST_PREFIX_PATTERNS = [
     r"^(who are|what are)\b",
     r"^(list|enumerate)\b",
     r"^name the\b",
     r"^give me the list\b",
-    r"^(give|show|return|provide)\s+(the\s+)?(two|three|four|five|six|seven|eight|nine|ten|[0-9]+)\b",
-    r"^(give|show|return|provide)\s+(the\s+)?(names?|records?|entries|items|employees?|people|requirements?|steps?"
-    r"|rules?|options?|values?)\b",
+    r"^(?:give|show|return|provide)\s+(?:the\s+)?(?:two|three|four|five|six|seven|eight|nine|ten|\d+)\b",
+    r"^(?:give|show|return|provide)\s+(?:the\s+)?(?:names?|records?|entries|items|employees?|people|requirements?|steps?|rules?|options?|values?)\b",
     r"^(sino sino|ano ano|ilista)\b",
     r"^(all|examples|types|categories)\b",
     r"^how to\b",
     r"^step by step\b",
     r"^steps\b",
-    r"^procedures? for\b",
+    r"^procedure for\b",
+    r"^procedures for\b",
     r"^process for\b",
     r"^workflow for\b",
 ]
@@ -128,16 +129,17 @@ IMPERATIVES = (
     "explain|describe|summari[sz]e|define|list|enumerate|give|show|provide|tell|clarify|elaborate"
     "|ipaliwanag|ilarawan|ibuod|ilista|ibigay"
 )
+# Comparisons of two events.
 TEMPORAL_COMPARISON_PATTERNS = [
-    r"\b(before|after|earlier|later)\b.+\bthan\b",
-    r"\bbefore\s+or\s+after\b",
-    r"^\s*(was|is|did)\s+.+\s+(before|after|earlier\s+than|later\s+than)\s+.+$",
-    r"\b(nauna|sumunod)\b.+\bkaysa\b",
+    r"\b(?:before|after|earlier|later)\b.+\bthan\b",
+    r"\b(?:before\s+or\s+after)\b",
+    r"^\s*(?:was|is|did)\s+.+\s+(?:before|after|earlier\s+than|later\s+than)\s+.+$",
+    r"\b(?:nauna|sumunod)\b.+\bkaysa\b",
     r"\bmas\s+nauna\b.+\bkaysa\b",
-    r"^\s*which\s+came\s+(later|first|earlier)\s*:",
-    r"^\s*alin\s+ang\s+(nauna|sumunod)\s*:",
-    r"^\s*compare\s+.+\s+(with|to|and)\s+.+\b(date|dates|first|earlier|later|chronological)\b",
-    r"\bchronological\s+order\b.*?:\s*.+\s+(and|or|at|o)\s+.+",
+    r"^\s*which\s+came\s+(?:later|first|earlier)\s*:",
+    r"^\s*alin\s+ang\s+(?:nauna|sumunod)\s*:",
+    r"^\s*compare\s+.+\s+(?:with|to|and)\s+.+\b(?:date|dates|first|earlier|later|chronological)\b",
+    r"\bchronological\s+order\b.*?:\s*.+\s+(?:and|or|at|o)\s+.+",
 ]
 FACET_PAIR_PATTERNS = [
     r"^\s*(?:mas\s+)?(?:nauna|sumunod)\s+(?:ba\s+)?(.+?)\s+kaysa\s+(.+?)[?!.]*$",
@@ -155,20 +157,29 @@ explain describe
 FACET_PRONOUNS = "he she it they them his her its their siya nito niya nila".split()
 
 # ---- relation kinds, first match wins ---------------------------------------------------
-_ORG = "organization|organisation|group|association|society|movement"
-_FOUND = "found|founded|cofound|co founder|co founded|help found|helped found"
-_POST = "position|role|office|title"
+# One pattern per kind.
 RELATION_KIND_PATTERNS = [
-    ("organization", rf"\b({_ORG})\b.*\b({_FOUND})\b|\b({_FOUND})\b.*\b({_ORG})\b"),
-    ("position", rf"\b({_POST})\b.*\b(hold|held|have|serve|served|occupy|occupied)\b"
-                 rf"|\b(hold|held|serve|served|appointed)\b.*\b({_POST})\b"),
-    ("approver", r"\b(approve|approves|approved|approval|approver|authorize|authorizes|authorization)\b"),
-    ("quantity", r"\b(how many|how much|number|amount|limit|allotment|allowance|entitlement|annual|annually|yearly"
-                 r"|days?|hours?|credits?|percentage|percent)\b"),
-    ("purpose", r"\b(purpose|objective|goal|aim|mission)\b"),
-    ("eligibility", r"\b(eligible|eligibility|qualified|qualification|qualify|qualifies|entitled|entitlement|covered)\b"),
-    ("time", r"\b(when|date|year|signed|effective|deadline|issued|started|ended|approved on)\b"),
-    ("winner", r"\b(won|winner|winners|winning|awarded\s+to)\b"),
+    (
+        "organization",
+        r"\b(?:organization|organisation|group|association|society|movement)\b"
+        r".*\b(?:found|founded|cofound|co founder|co founded|help found|helped found)\b"
+        r"|\b(?:found|founded|cofound|co founder|co founded|help found|helped found)\b"
+        r".*\b(?:organization|organisation|group|association|society|movement)\b",
+    ),
+    (
+        "position",
+        r"\b(?:position|role|office|title)\b.*\b(?:hold|held|have|serve|served|occupy|occupied)\b"
+        r"|\b(?:hold|held|serve|served|appointed)\b.*\b(?:position|role|office|title)\b",
+    ),
+    ("approver", r"\b(?:approve|approves|approved|approval|approver|authorize|authorizes|authorization)\b"),
+    (
+        "quantity",
+        r"\b(?:how many|how much|number|amount|limit|allotment|allowance|entitlement|annual|annually|yearly|days?|hours?|credits?|percentage|percent)\b",
+    ),
+    ("purpose", r"\b(?:purpose|objective|goal|aim|mission)\b"),
+    ("eligibility", r"\b(?:eligible|eligibility|qualified|qualification|qualify|qualifies|entitled|entitlement|covered)\b"),
+    ("time", r"\b(?:when|date|year|signed|effective|deadline|issued|started|ended|approved on)\b"),
+    ("winner", r"\b(?:won|winner|winners|winning|awarded\s+to)\b"),
 ]
 RELATION_COMMON_WORDS = """
 the a an of in on at for to and or with what which who when where why how did does do is are was were has have had
