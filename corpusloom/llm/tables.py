@@ -63,11 +63,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star rounds; each round rewires edges towards the smallest
     neighbour, so a node with very many neighbours loses them within a few rounds, and the work per
     round is one aggregation and one join of edges.  Each round is checkpointed; nodes never meet on
-    the driver, which sees only the count of changed rows.
+    the driver, which sees only a count and a digest of the edges.
     """
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
     e = saved(e)
-    while True:
+    digest = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
+    before = e.agg(*digest).first()
+    while before[0]:
         # large star: every larger neighbour of a node points to the node's smallest neighbour
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -78,7 +80,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         linked = small.where("m < w").select(F.col("m").alias("u"), F.col("w").alias("v"))
         linked = linked.union(low.select(F.col("m").alias("u"), "v")).distinct()
         new = saved(linked)
-        digest = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
-        if new.agg(*digest).first() == e.agg(*digest).first():
-            return new.select(F.col("v").alias("node"), F.col("u").alias("component"))
-        e = new
+        after = new.agg(*digest).first()
+        e, same, before = new, after == before, after
+        if same:
+            break
+    return e.select(F.col("v").alias("node"), F.col("u").alias("component"))
