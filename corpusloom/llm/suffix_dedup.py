@@ -267,9 +267,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     """(keyed rows, spans): bytes of ``docs(doc_id, text)`` covered by a string of ``length`` bytes that also starts elsewhere."""
     rows = keyed(need(docs, "doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
     runs = rows.where(F.octet_length("text") >= length).select(ROW, "text").mapInArrow(_runs(length, gram), _RUNS)
-    often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
+    # Counts are written before they are joined: a join of two plain shuffles lets Spark split a hot anchor.
+    often = saved(runs.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m"))
     runs = saved(runs.join(often, "m"))
     contexts = runs.groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(ROW, "p", "i0", "i1")).alias("r"))
+    contexts = saved(contexts)
     equal = runs.join(contexts.where("n > 1").select("m", "c"), ["m", "c"])
     spans = equal.select(ROW, F.col("i0").alias("first"), (F.col("i1") + length).alias("last"))
     # different contexts of one anchor, one run for each
