@@ -20,7 +20,7 @@ from corpusloom.llm import arrays as A
 from corpusloom.llm.tables import ROW, boxed, keyed, need, stable
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 8
 #: Benchmark rows sent to every task at once; a larger benchmark is searched block by block.
 BLOCK_ITEMS = 20_000

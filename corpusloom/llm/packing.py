@@ -26,7 +26,8 @@ CAPACITY = 2048
 NEARLY_FULL = 8
 GROUP_BINS = 40_000
 ROUNDS = 3
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
+PIECE = 1 << 19
 
 BIN = (
     "bin long, fill int, done boolean, "
@@ -180,7 +181,7 @@ def _cut_and_pack(path: str, capacity: int, end_id: int):
         for batch in batches:
             data, off = A.text_bytes(batch.column(1))
             docs = iter(batch.column(0).to_pylist())
-            for _, _, part, cuts in A.pieces(data, off):
+            for _, _, part, cuts in A.pieces(data, off, PIECE):
                 for raw in tokens.documents(part, cuts):
                     doc, raw = next(docs), raw + end
                     for k in range(0, len(raw) // 4, capacity):
