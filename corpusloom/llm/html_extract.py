@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tables import ROW, keyed, need, saved
+from corpusloom.llm.tables import ROW, keyed, need, saved, split_by_keys
 
 CONSTANT_SHARE = 0.5
 LEAST_PAGES = 3
@@ -270,7 +270,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     filled = rows.where("html is not null and html != ''")
     pick = filled.groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), F.col(ROW).alias("r"))).alias("m"))
     pick = saved(pick.select("host", F.col("m.r").alias("r")))
-    reference = filled.join(pick.select(F.col("r").alias(ROW)), ROW, "left_semi").select("host", F.col("html").alias("ref"))
+    chosen = pick.select(F.col("r").alias(ROW))
+    some, rest = split_by_keys(filled, chosen)
+    reference = some if rest is not None else filled.join(chosen, ROW, "left_semi")
+    reference = reference.select("host", F.col("html").alias("ref"))
     if pick.limit(HOSTS_SENT + 1).count() <= HOSTS_SENT and reference.agg(F.coalesce(F.sum(F.length("ref")), F.lit(0))).first()[0] < 32 << 20:
         sent = {r[0]: r[1] for r in reference.collect()}
         aligned = filled.select(ROW, "host", "html").mapInArrow(_aligned(sent), "__row long, host string, k int, slot int, t long, open boolean")
@@ -282,6 +285,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     asked = aligned.select("host", ROW).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     constant = shown.where(F.col("n") >= LEAST_PAGES).join(asked, "host").where(F.col("n") >= F.col("pages") * CONSTANT_SHARE)
     drop = aligned.where("open").join(constant.select("host", "slot", "t"), ["host", "slot", "t"])
-    drop = drop.groupBy(ROW).agg(F.collect_list("k").alias("drop"))
-    both = rows.select(ROW, "page_id", "url", "html").join(drop, ROW, "left")
+    drop = saved(drop.groupBy(ROW).agg(F.collect_list("k").alias("drop")))
+    some, rest = split_by_keys(rows.select(ROW, "page_id", "url", "html"), drop)
+    both = some.join(drop, ROW, "left")
+    if rest is not None:
+        both = both.unionByName(rest.withColumn("drop", F.lit(None).cast("array<int>")))
     return both.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
