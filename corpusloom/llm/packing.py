@@ -24,9 +24,9 @@ from corpusloom.llm.tables import need, saved
 
 CAPACITY = 2048
 NEARLY_FULL = 8
-GROUP_BINS = 40_000
+GROUP_BINS = 20_000
 ROUNDS = 3
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 PIECE = 1 << 19
 
 BIN = (

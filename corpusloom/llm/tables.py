@@ -52,9 +52,21 @@ def split_by_keys(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame
     return df.join(few, ROW, "left_semi"), df.join(few, ROW, "left_anti")
 
 
+#: Rows and bytes that a Python task takes at a time; its arrays are a few times that size.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Bounds the Arrow batches of the session, for long texts the more so; ``df`` stays as it is."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, under these names; other columns cannot clash with helper columns."""
-    return df.select(*columns)
+    return bounded_batches(df).select(*columns)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
