@@ -5,8 +5,11 @@ context runs across words.  Contexts of up to ``DEPTH`` symbols are counted over
 Spark.  A context stays in the tree if its next-symbol distribution diverges from its suffix's: the
 likelihood it gains over the suffix, judged with one occurrence held out, must pay for itself.  A retained
 context's distribution is smoothed by absolute discounting towards its suffix; scoring takes the longest
-retained suffix of what was read.  Frequent words are symbols of the root as wholes, too: a token's
-probability mixes that with its spelled one.  The unigram base over whole words is scored along, from exact counts.
+retained suffix of what was read.  Words are symbols of the root as wholes, too: a token's probability mixes
+that with its spelled one.  The unigram base over whole words is scored along, from exact counts.
+
+The tree is a Spark table per context length and grows with the corpus.  Documents are scored in shards of bounded
+size; the distinct grams and words of a shard are looked up by joins and meet its documents in one task.
 """
 
 from __future__ import annotations
@@ -23,15 +26,15 @@ from corpusloom.llm import arrays as A
 from corpusloom.llm.tables import ROW, keyed, need, saved
 
 DEPTH = 5
-#: Weight of the root's whole-word symbols (the frequent words) beside the spelled ones.
+#: Weight of the root's whole-word symbols beside the spelled ones.
 WHOLE = 0.15
 DISCOUNT = 0.75
 #: Log-likelihood that a context must gain over its suffix.
 GAIN = 4.0
-#: Grams rarer than this share of all symbols are left to their suffixes: at most 2**21 grams of each length remain.
-SHARE = 2.0**-21
-#: Words with a share of all tokens of at least this are sent to every task: at most 2**18 of them.
-WORD_SHARE = 2.0**-18
+#: Grams seen less often are left to their suffixes, at any size of the corpus.
+LEAST = 2
+#: Bytes of text that are scored together against their own part of the tree.
+SHARD_BYTES = 32 << 20
 HOLD = 1_000_000
 BLANK, END = 32, 10
 WORDS = A.byte_class("space")
@@ -119,78 +122,102 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([END_WORD]), pa.array([docs], pa.int64())], names=["kind", "key", "n"])
 
 
-class Tree(NamedTuple):
-    """Retained contexts by length: grams with their log probability, contexts with the log weight of their suffix."""
+def _fitted(length: int):
+    """Smoothed distribution of each context of this length, and whether it stays in the tree.
 
-    grams: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
+    Takes (context, total, grams of symbol, count and suffix's log probability); ``logs`` are the grams' own log
+    probabilities where the context stays and their suffix's elsewhere.
+    """
 
-    def log_probability(self, key: np.ndarray) -> np.ndarray:
-        """Natural log of the last symbol's probability after the longest retained suffix of the others."""
-        out, live = np.zeros(len(key)), np.arange(len(key))
-        for length in range(DEPTH, -1, -1):
-            g, c = self.grams[length], self.contexts[length]
-            if not len(c):
-                continue
-            q = key[live] & _mask(length + 1)
-            at = np.minimum(np.searchsorted(g, q), len(g) - 1)
-            hit = g[at] == q
-            out[live[hit]] += self.logs[length][at[hit]]
-            live, q = live[~hit], q[~hit] >> np.uint64(8)
-            at = np.minimum(np.searchsorted(c, q), len(c) - 1)
-            out[live] += np.where(c[at] == q, self.weights[length][at], 0)
-        out[live] -= np.log(256)
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, grams = batch.column(1).to_numpy().astype(float), batch.column(2)
+            at = A.row_of(np.r_[0, np.cumsum(grams.value_lengths().to_numpy())].astype(np.int64))
+            symbol, n, below = (grams.flatten().field(i).to_numpy() for i in range(3))
+            n, suffix, size = n.astype(float), np.exp(below.astype(float)), len(total)
+            all_n = total[at]
+            left = 1 - np.bincount(at, n - DISCOUNT, size) / np.maximum(total, 1)
+            p = (n - DISCOUNT) / all_n + left[at] * suffix
+            # likelihood over the suffix with one occurrence held out; grams that were left out count with the suffix's weight
+            held = np.maximum(n - 1 - DISCOUNT, 0) / np.maximum(all_n - 1, 1) + left[at] * suffix
+            gain = np.bincount(at, n * np.log(held / suffix), size)
+            gain = gain + (total - np.bincount(at, n, size)) * np.log(np.maximum(left, 1e-12))
+            stays = gain > GAIN if length else np.ones(size, bool)
+            logs = np.where(stays[at], np.log(p), below).astype(np.float32)
+            bounds = pa.array(np.r_[0, np.cumsum(np.bincount(at, minlength=size))], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(stays),
+                    pa.array(np.log(np.maximum(left, 1e-12)).astype(np.float32)),
+                    pa.ListArray.from_arrays(bounds, pa.array(symbol, pa.int32())),
+                    pa.ListArray.from_arrays(bounds, pa.array(logs)),
+                ],
+                names=["context", "stays", "weight", "symbols", "logs"],
+            )
 
+    return run
 
-def _mask(n: int) -> np.uint64:
-    return np.uint64((1 << (8 * n)) - 1)
 
+def _cut(length: int):
+    """A gram's last ``length`` symbols."""
+    return F.col("key").bitwiseAND(F.lit((1 << (8 * length)) - 1).cast("long"))
 
-def build_tree(levels: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """Tree from gram counts by context length and context counts (all occurrences, rare grams included)."""
-    tree = Tree([], [], [], [])
-    for length, ((key, n), (context, total)) in enumerate(zip(levels, totals)):
-        order = np.argsort(key)
-        key, n = key[order], n[order].astype(float)
-        order = np.argsort(context)
-        context, total = context[order], total[order].astype(float)
-        at = np.minimum(np.searchsorted(context, key >> np.uint64(8)), max(0, len(context) - 1))
-        known = context[at] == key >> np.uint64(8) if len(context) else np.zeros(len(key), bool)
-        key, n, at = key[known], n[known], at[known]
-        suffix = np.exp(tree_so_far(tree, key, length))
-        all_n = total[at]
-        left = 1 - np.bincount(at, n - DISCOUNT, len(context)) / np.maximum(total, 1)
-        p = (n - DISCOUNT) / all_n + left[at] * suffix
-        # likelihood over the suffix with one occurrence held out; grams that were left out count with the suffix's weight
-        held = np.maximum(n - 1 - DISCOUNT, 0) / np.maximum(all_n - 1, 1) + left[at] * suffix
-        gain = np.bincount(at, n * np.log(held / suffix), len(context))
-        gain = gain + (total - np.bincount(at, n, len(context))) * np.log(np.maximum(left, 1e-12))
-        stays = gain > GAIN if length else np.ones(len(context), bool)
-        number = stays[at]
-        tree.grams.append(key[number])
-        tree.logs.append(np.log(p[number]).astype(np.float32))
-        tree.contexts.append(context[stays])
-        tree.weights.append(np.log(np.maximum(left[stays], 1e-12)).astype(np.float32))
-    return tree
-
-
-def tree_so_far(tree: Tree, key: np.ndarray, length: int) -> np.ndarray:
-    """Log probability of grams after their context's suffixes shorter than ``length``."""
-    if not length:
-        return np.full(len(key), -np.log(256))
-    empty = np.zeros(0, np.uint64)
-    pad = DEPTH + 1 - length
-    shorter = Tree(*(list(x) + [empty] * pad for x in tree))
-    return shorter.log_probability(key)
+
+class Tree(NamedTuple):
+    """A table of contexts for each length: context, stays, log weight of the suffix, symbols and their log probabilities."""
+
+    levels: list[DataFrame]
+
+    def spelled(self, keys: DataFrame) -> DataFrame:
+        """(key, v): natural log of the last symbol's probability after the longest retained suffix of the others."""
+        asked, met = keys.select("key").distinct(), []
+        for length in range(DEPTH, -1, -1):
+            kept = self.levels[length].where("stays").select("context", "weight", "symbols", "logs")
+            found = asked.withColumn("context", F.shiftright("key", 8)).join(kept, "context", "left")
+            place = F.array_position("symbols", F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int")).cast("int")
+            found = found.select("key", F.get("logs", place - 1).cast("double").alias("v"), F.coalesce("weight", F.lit(0)).cast("double").alias("weight"))
+            met.append(saved(found))
+            asked = met[-1].where("v is null").select(_cut(length).alias("key")).distinct()
+        out = met[-1].select("key", F.coalesce("v", F.col("weight") - F.lit(float(np.log(256)))).alias("v"))
+        for length in range(1, DEPTH + 1):
+            here = met[DEPTH - length]
+            shorter = out.select(F.col("key").alias("suffix"), F.col("v").alias("below"))
+            rest = here.where("v is null").select("key", "weight", _cut(length).alias("suffix")).join(shorter, "suffix")
+            out = here.where("v is not null").select("key", "v").unionByName(rest.select("key", (F.col("weight") + F.col("below")).alias("v")))
+        return out
+
+    def log_probability(self, key: np.ndarray) -> np.ndarray:
+        """``spelled`` of a few keys."""
+        spark = self.levels[0].sparkSession
+        got = {r[0]: r[1] for r in self.spelled(spark.createDataFrame([(int(k),) for k in key], "key long")).collect()}
+        return np.array([got[int(k)] for k in key])
+
+
+def grow(level: DataFrame) -> Tree:
+    """Tree from the counts (key, n) of the longest grams, all occurrences of them."""
+    levels = [level]
+    for length in range(DEPTH - 1, -1, -1):
+        levels.insert(0, saved(levels[0].groupBy(_cut(length + 1).alias("key")).agg(F.sum("n").alias("n"))))
+    tree, below = [], None
+    for length, grams in enumerate(levels):
+        grams = grams.select("key", "n", F.shiftright("key", 8).alias("context"))
+        if length:
+            often = grams.where(F.col("n") >= LEAST).withColumn("suffix", _cut(length)).join(below, "suffix").drop("suffix")
+            grams = often.unionByName(grams.where(F.col("n") < LEAST).withColumn("below", F.lit(None).cast("float")))
+        else:
+            grams = grams.withColumn("below", F.lit(-float(np.log(256))).cast("float"))
+        one = F.struct(F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int").alias("symbol"), "n", "below")
+        own = grams.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.when(F.col("below").isNotNull(), one)).alias("grams"))
+        fit = own.where(F.size("grams") > 0).mapInArrow(_fitted(length), "context long, stays boolean, weight float, symbols array<int>, logs array<float>")
+        tree.append(saved(fit))
+        each = tree[-1].select("context", F.explode(F.arrays_zip("symbols", "logs")).alias("g"))
+        below = each.select(F.shiftleft("context", 8).bitwiseOR(F.col("g.symbols").cast("long")).alias("suffix"), F.col("g.logs").alias("below"))
+    return Tree(tree)
 
 
 class Model(NamedTuple):
     tree: Tree
-    words: np.ndarray  # frequent words, sorted
-    counts: np.ndarray
     tokens: int
     distinct: int
 
@@ -204,21 +231,7 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = saved(counts)
     words = counts.where("kind = 0").select("key", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    grams = counts.where("kind = 1")
-    seen = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2, int(seen * SHARE))
-    masks = F.array(*[F.struct(F.lit(k).alias("length"), F.lit((1 << (8 * (k + 1))) - 1).cast("long").alias("mask")) for k in range(DEPTH + 1)])
-    level = grams.select("key", "n", F.explode(masks).alias("m"))
-    level = level.groupBy("m.length", F.col("key").bitwiseAND(F.col("m.mask")).alias("key")).agg(F.sum("n").alias("n"))
-    kept = level.where((F.col("n") >= least) | (F.col("length") == 0)).toPandas()
-    context = level.groupBy("length", F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n"))
-    context = context.where((F.col("n") >= least) | (F.col("length") == 0)).toPandas()
-    split = lambda t: [(t.key.to_numpy(np.int64)[w].view(np.uint64), t.n.to_numpy(np.int64)[w]) for w in (t.length.to_numpy() == k for k in range(DEPTH + 1))]
-    tree = build_tree(split(kept), split(context))
-    often = words.where(F.col("n") >= max(1, int(tokens * WORD_SHARE))).toPandas()
-    order = np.argsort(often.key.to_numpy(np.int64).view(np.uint64))
-    model = Model(tree, often.key.to_numpy(np.int64).view(np.uint64)[order], often.n.to_numpy(np.int64)[order], int(tokens), int(distinct))
-    return model, words
+    return Model(grow(counts.where("kind = 1").select("key", "n")), int(tokens), int(distinct)), words
 
 
 def _mixed(share: np.ndarray, spelled: np.ndarray) -> np.ndarray:
@@ -229,52 +242,107 @@ def _mixed(share: np.ndarray, spelled: np.ndarray) -> np.ndarray:
     return np.where(share > 0, top + np.log10(10 ** (low - top) + 10 ** (high - top)), low)
 
 
-def _score(model: Model):
-    end_at = np.searchsorted(model.words, np.uint64(END_WORD & (2**64 - 1)))
-    known_end = end_at < len(model.words) and int(model.words[end_at].view(np.int64)) == END_WORD
-    end_count = int(model.counts[end_at]) if known_end else None
-    whole = model.tokens + model.distinct + 1
-    held = max(1, int(model.counts.sum()))
-    end_share = (end_count or 0) / held
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(shard, consecutive rows of it): a scan task's texts are cut at every ``SHARD_BYTES``, at the same rows in every scan."""
+    before = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.diff(A.text_bytes(batch.column(2))[1])
+        start = before + np.cumsum(size) - size
+        before += int(size.sum())
+        shard = (batch.column(0).to_numpy() >> 33 << 33) + start // SHARD_BYTES
+        cut = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)]
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield int(shard[a]), batch.slice(a, b - a)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, kind, key): the distinct words (kind 0) and grams (kind 1) of each shard."""
+    now, held = None, ([np.array([END_WORD])], [])
+
+    def closed():
+        for kind, keys in enumerate(held):
+            k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            for a in range(0, len(k), 100_000):
+                part = k[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), now, np.int64)), pa.array(np.full(len(part), kind, np.int8)), pa.array(part)], names=["shard", "kind", "key"]
+                )
+
+    for shard, part in _dealt(batches):
+        if shard != now:
+            if now is not None:
+                yield from closed()
+            now, held = shard, ([np.array([END_WORD])], [])
+        for _, _, data, cut in A.pieces(*A.text_bytes(part.column(2))):
+            x = symbols(data, cut)
+            held[0].append(np.unique(x.words.view(np.int64)))
+            held[1].append(np.unique(x.grams.view(np.int64)))
+    if now is not None:
+        yield from closed()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, kind 2, documents): doc_id and text of consecutive rows of a shard, compressed."""
+    for shard, part in _dealt(batches):
+        for a, b, _, _ in A.pieces(*A.text_bytes(part.column(2))):
+            docs, sink = part.slice(a, b - a).select(["doc_id", "text"]), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(docs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard]), pa.array([2], pa.int8()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "kind", "docs"]
+            )
+
+
+def _scored(tokens: int, distinct: int):
+    """Scores of each shard's documents, which come after the values of its words and grams."""
+    whole = tokens + distinct + 1
+
+    def table(parts):
+        key = np.concatenate([p[0] for p in parts])
+        order = np.argsort(key)
+        return key[order], np.concatenate([p[1] for p in parts])[order]
+
+    def scores(docs: pa.RecordBatch, words, grams) -> pa.RecordBatch:
+        x = symbols(*A.text_bytes(docs.column(1)))
+        key, inverse = np.unique(x.grams.view(np.int64), return_inverse=True)
+        logs = grams[1][np.searchsorted(grams[0], key)][inverse.reshape(-1)] / _LN10
+        # every document's words and then its end
+        token = np.insert(x.words.view(np.int64), x.word_at[1:], END_WORD)
+        n = words[1][np.searchsorted(words[0], token)]
+        first = x.word_at[:-1] + np.arange(docs.num_rows)
+        mixed = _mixed(n / max(1, tokens), np.add.reduceat(logs, x.token_at))
+        total = lambda v: np.add.reduceat(v, first)
+        return pa.RecordBatch.from_arrays(
+            [
+                docs.column(0),
+                pa.array(np.diff(x.word_at) + 1, pa.int64()),
+                pa.array(total((n > 0).astype(np.int64)), pa.int64()),
+                pa.array(total(np.log10((n + 1) / whole))),
+                pa.array(total(mixed)),
+            ],
+            names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, tables = None, ([], []), None
         for batch in batches:
-            data, off = A.text_bytes(batch.column(2))
-            for a, b, part, cut in A.pieces(data, off):
-                x = symbols(part, cut)
-                key, inverse = np.unique(x.grams, return_inverse=True)
-                logs = model.tree.log_probability(key)[inverse.reshape(-1)] / _LN10
-                at = np.minimum(np.searchsorted(model.words, x.words), max(0, len(model.words) - 1))
-                known = model.words[at] == x.words if len(model.words) else np.zeros(len(x.words), bool)
-                base = np.where(known, np.log10((model.counts[at] + 1) / whole), 0) if len(model.words) else np.zeros(len(x.words))
-                share = np.where(known, model.counts[at] / held, 0) if len(model.words) else np.zeros(len(x.words))
-                share = np.insert(share, x.word_at[1:], end_share)
-                spelled = np.add.reduceat(logs, x.token_at)
-                token = _mixed(share, spelled)
-                score = np.add.reduceat(token, x.word_at[:-1] + np.arange(b - a))
-                total = lambda v: np.diff(np.r_[0, np.cumsum(v)][x.word_at])
-                sums = np.array([base[i:j].sum() for i, j in zip(x.word_at[:-1], x.word_at[1:])])
-                rare = x.words[~known].view(np.int64)
-                rare_at = np.r_[0, np.cumsum(~known)][x.word_at]
-                end_known = int(bool(end_count))
-                if end_count is not None:
-                    sums = sums + np.log10((end_count + 1) / whole)
-                else:
-                    # the end token is looked up like any rare word
-                    rare = np.insert(rare, rare_at[1:], END_WORD)
-                    rare_at = rare_at + np.arange(len(rare_at))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[a:b],
-                        batch.column(1)[a:b],
-                        pa.array(np.diff(x.word_at) + 1, pa.int64()),
-                        pa.array(total(known) + end_known, pa.int64()),
-                        pa.array(sums, pa.float64()),
-                        pa.array(score, pa.float64()),
-                        pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(rare)),
-                    ],
-                    names=["__row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
-                )
+            shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.r_[0, np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1, len(shard)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                if a == b:
+                    continue
+                if shard[a] != now:
+                    now, held, tables = shard[a], ([], []), None
+                if kind[a] < 2:
+                    held[kind[a]].append((batch.column(2).slice(a, b - a).to_numpy().copy(), batch.column(3).slice(a, b - a).to_numpy().copy()))
+                    continue
+                if tables is None:
+                    tables, held = (table(held[0]), table(held[1])), ([], [])
+                for packed in batch.column(4).slice(a, b - a):
+                    for docs in pa.ipc.open_stream(packed.as_buffer()):
+                        yield scores(docs, *tables)
 
     return run
 
@@ -285,21 +353,14 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     Both scores are log10 probabilities of the whole text; null and empty texts are the end token alone; rows
     are scored one by one, however long; an empty table gives no rows; other columns are ignored.
     """
-    rows = keyed(need(docs, "doc_id", "text"))
-    schema = "__row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>"
-    first = saved(rows.select(ROW, "doc_id", "text").mapInArrow(_score(model), schema))
-    whole = float(model.tokens + model.distinct + 1)
-    rare = first.select(ROW, F.explode("rare").alias("key")).groupBy(ROW, "key").agg(F.count(F.lit(1)).alias("k"))
-    rare = rare.join(words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = rare.groupBy(ROW).agg(
-        F.sum(F.col("k") * F.log10((F.col("n") + 1) / F.lit(whole))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known")
-    )
-    out = first.drop("rare").join(rare, ROW, "left")
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    rows = keyed(need(docs, "doc_id", "text")).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    asked = saved(rows.mapInArrow(_asked, "shard long, kind byte, key long"))
+    grams = asked.where("kind = 1")
+    grams = grams.join(model.tree.spelled(grams), "key").select("shard", "kind", "key", "v")
+    known = asked.where("kind = 0").join(words, "key", "left").select("shard", "kind", "key", F.coalesce("n", F.lit(0)).cast("double").alias("v"))
+    values = grams.unionByName(known).withColumn("docs", F.lit(None).cast("binary"))
+    packed = rows.mapInArrow(_packed, "shard long, kind byte, docs binary")
+    packed = packed.select("shard", "kind", F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("v"), "docs")
+    met = values.unionByName(packed).repartition("shard").sortWithinPartitions("shard", "kind")
+    out = met.mapInArrow(_scored(model.tokens, model.distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

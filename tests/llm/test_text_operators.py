@@ -253,6 +253,19 @@ def test_lm_scores(docs, rows, none):
     assert lm_score.score(docs, empty, no_words).count() == len(rows)
 
 
+def test_lm_tree_keeps_rare_contexts_of_a_large_corpus(spark, monkeypatch):
+    common = " ".join(f"word{i % 97} of {i % 13} plain" for i in range(400))
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 7, F.concat(F.lit("the zqxjk is "), F.lit(common))).otherwise(F.lit(common)).alias("text"))
+    docs = docs.repartition(2)
+    model, words = lm_score.learn(docs)
+    # the symbols of a word seen three times among 12 million follow from their contexts
+    keys = np.array([int.from_bytes(g, "big") for g in (b" zqxjk", b"e zqxj")], np.uint64)
+    assert (model.tree.log_probability(keys) > -0.5).all()
+    one = {r["doc_id"]: round(r["score"], 6) for r in lm_score.score(docs.where("doc_id < 40"), model, words).collect()}
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 20_000)
+    assert {r["doc_id"]: round(r["score"], 6) for r in lm_score.score(docs.where("doc_id < 40"), model, words).collect()} == one and len(one) == 40
+
+
 def similar(a, b):
     return bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
 
