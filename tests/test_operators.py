@@ -119,6 +119,17 @@ def test_ann_recall_and_full_lists(spark):
     assert pairs(VX.vector_topk_ann(queries, corpus, 150, lists=40, probes=1)) >= set() and len(pairs(VX.vector_topk_ann(queries, corpus, 150, lists=40, probes=1))) == 50 * 150
 
 
+def test_ann_finds_every_neighbour_of_unclustered_vectors(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(32).tolist()) for i in range(800)]
+    corpus = spark.createDataFrame(rows, "chunk_key long, embedding array<double>")
+    queries = spark.createDataFrame(rows[::20], "query_id long, vector array<double>")
+    pairs = lambda df: {(x["query_id"], x["rank"], x["chunk_key"]) for x in df.collect()}
+    assert pairs(VX.vector_topk_ann(queries, corpus, 10)) == pairs(VX.vector_topk(queries, corpus, 10))
+    # with one list to begin with, the bound has to open the others
+    assert pairs(VX.vector_topk_ann(queries, corpus, 10, lists=30, probes=1)) == pairs(VX.vector_topk(queries, corpus, 10))
+
+
 def test_publish_checks_counts_and_moves_pointer(spark, tmp_path):
     from corpusloom.sources import sinks as K
 
