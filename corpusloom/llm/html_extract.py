@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from corpusloom.llm.tables import ROW, keyed, need, saved, split_by_keys
 
 CONSTANT_SHARE = 0.5
 LEAST_PAGES = 3
-#: Children of one element that take part in matching one by one; later ones match like the last.
-FAN_OUT = 64
+#: Cells of an alignment that are held at once; a longer pair of levels is halved first.
+CELLS = 4096
 #: References sent to every task at once; with more hosts they are joined.
 HOSTS_SENT = 20_000
 
@@ -162,42 +163,71 @@ def number(root: Node) -> list[Node]:
     return order
 
 
+def _pairs(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """Best in-order pairs of equal tags, weighted by the likeness of their sizes."""
+    w = [[0 if p.tag != q.tag else 1 + min(p.size, q.size) / (1 + max(p.size, q.size)) for q in ys] for p in xs]
+    best = [[0.0] * (len(ys) + 1)]
+    for row in w:
+        above, left = best[-1], 0.0
+        line = [left]
+        for j, gain in enumerate(row):
+            left = max(above[j + 1], left, above[j] + gain if gain else 0)
+            line.append(left)
+        best.append(line)
+    i, j, found = len(xs), len(ys), []
+    while i and j:
+        if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
+            found.append((xs[i - 1], ys[j - 1]))
+            i, j = i - 1, j - 1
+        elif best[i - 1][j] >= best[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def _last_line(xs: list[Node], ys: list[Node]) -> np.ndarray:
+    """Weight of the best pairs of all ``xs`` with each prefix of ``ys``, one line at a time."""
+    number: dict[str, int] = {}
+    tags = np.array([number.setdefault(q.tag, len(number)) for q in ys])
+    size, line = np.array([q.size for q in ys], float), np.zeros(len(ys) + 1)
+    for p in xs:
+        gain = np.where(tags == number.get(p.tag, -1), 1 + np.minimum(size, p.size) / (1 + np.maximum(size, p.size)), 0)
+        line[1:] = np.maximum.accumulate(np.maximum(line[1:], np.where(gain > 0, line[:-1] + gain, 0)))
+    return line
+
+
+def align(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """``_pairs`` of levels of any length: halves of ``xs`` meet where their best weights add up to the most."""
+    found, todo = [], [(xs, ys)]
+    while todo:
+        x, y = todo.pop()
+        if not x or not y:
+            continue
+        if len(x) * len(y) <= CELLS:
+            found += _pairs(x, y)
+        elif len(x) == 1:
+            todo += [(x, [max((q for q in y if q.tag == x[0].tag), key=lambda q: min(q.size, x[0].size) / (1 + max(q.size, x[0].size)), default=y[0])])]
+        else:
+            m = len(x) // 2
+            cut = int(np.argmax(_last_line(x[:m], y) + _last_line(x[:m - 1:-1], y[::-1])[::-1]))
+            todo += [(x[:m], y[:cut]), (x[m:], y[cut:])]
+    return found
+
+
 def match(a: Node, b: Node) -> None:
     """Simple tree matching: gives nodes under ``a`` the slots of the nodes of ``b`` they match.
 
     Children are aligned in order by dynamic programming over equal tags, weighted by what their own
-    children match at the next level; a level of more than ``FAN_OUT`` children is aligned on its first ones
-    and the rest takes the slot of the last match of the same tag.
+    children match at the next level; levels of any length are aligned whole.
     """
     a.slot = b.slot
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
-        xs, ys = x.kids[:FAN_OUT], y.kids[:FAN_OUT]
-        if not xs or not ys:
-            continue
-        w = [[0 if p.tag != q.tag else 1 + min(p.size, q.size) / (1 + max(p.size, q.size)) for q in ys] for p in xs]
-        best = [[0.0] * (len(ys) + 1)]
-        for row in w:
-            above, left = best[-1], 0.0
-            line = [left]
-            for j, gain in enumerate(row):
-                left = max(above[j + 1], left, above[j] + gain if gain else 0)
-                line.append(left)
-            best.append(line)
-        i, j, last = len(xs), len(ys), {}
-        while i and j:
-            if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
-                xs[i - 1].slot = ys[j - 1].slot
-                last.setdefault(xs[i - 1].tag, ys[j - 1].slot)
-                todo.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i - 1][j] >= best[i][j - 1]:
-                i -= 1
-            else:
-                j -= 1
-        for k in x.kids[FAN_OUT:]:
-            k.slot = last.get(k.tag, -1)
+        for p, q in align(x.kids, y.kids):
+            p.slot = q.slot
+            todo.append((p, q))
 
 
 def host_of(url):

@@ -229,6 +229,30 @@ def test_html(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_footer_of_pages_with_many_blocks(spark):
+    page = lambda i, n: "<body>" + "".join(f"<p>Paragraph {k} of page {i}</p>" for k in range(n)) + "<div>Same notice</div></body>"
+    sizes = [5, 6, 7, 8, 9, 70, 150, 300]
+    got = html_extract.extract_pages(spark.createDataFrame([(i, f"http://c.example/{i}", page(i, n)) for i, n in enumerate(sizes)], "page_id long, url string, html string"))
+    for r in got.collect():
+        assert r["text"].split("\n") == [f"Paragraph {k} of page {r['page_id']}" for k in range(sizes[r["page_id"]])]
+
+
+def test_html_alignment_of_long_levels_is_the_whole_one(monkeypatch):
+    r = random.Random(4)
+    for _ in range(30):
+        sides = []
+        for n in (r.randint(1, 60), r.randint(1, 60)):
+            side = [html_extract.Node(r.choice("abc"), None) for _ in range(n)]
+            for x in side:
+                x.size = r.randint(1, 9)
+            sides.append(side)
+        weight = lambda pairs: sum(1 + min(p.size, q.size) / (1 + max(p.size, q.size)) for p, q in pairs)
+        whole = weight(html_extract._pairs(*sides))
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "CELLS", 8)
+            assert abs(weight(html_extract.align(*sides)) - whole) < 1e-9
+
+
 def test_lm_scores(docs, rows, none):
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
     count = Counter(w for r in rows if r[0] is None or r[0] % 3 for w in split(r[1]))
