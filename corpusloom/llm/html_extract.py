@@ -2,9 +2,9 @@
 
 A page's blocks form a tree of elements.  Pages of a host are aligned with the host's reference page by
 simple tree matching, which gives every block the slot of the reference node that it matches.  Spark counts
-how often a slot shows the same text: constant slots are template, varying slots are content.  What an
-article element holds is content in any case, and what stands in navigation, header, footer, side, form or
-advert elements never is; the slots decide about everything else.
+how often a slot shows the same text: constant slots are template, varying slots are content, on every page.
+Without a word of the slots, a page that marks an article has its text there and other pages anywhere; what
+stands in navigation, header, footer, side, form or advert elements is never text.
 """
 
 from __future__ import annotations
@@ -239,13 +239,14 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _undecided(blocks: list[tuple[Node, str]]) -> bool:
-    """A page whose article is not marked: its slots must tell."""
-    return bool(blocks) and not any(x.main and not x.apart for x, _ in blocks)
+def _likely(blocks: list[tuple[Node, str]]) -> list[bool]:
+    """Whether each block is text as far as the marks tell: what the page's article holds, or all of a page without one."""
+    marked = any(x.main and not x.apart for x, _ in blocks)
+    return [not x.apart and (x.main or not marked) for x, _ in blocks]
 
 
 def _aligned(references: dict[str, str] | None):
-    """(row, host, block number, slot, text hash, whether its slot must tell) of each page's blocks."""
+    """(row, host, block number, slot, text hash, whether its slot may tell, whether it is likely text) of each page's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, Node] = {}
@@ -265,11 +266,10 @@ def _aligned(references: dict[str, str] | None):
                     trees[host] = tree
                 number(root)
                 match(root, trees[host])
-                asked = _undecided(blocks)
-                out += [(row, host, k, x.slot, _hash(text), asked and not x.apart) for k, (x, text) in enumerate(blocks)]
-            cols = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["__row", "host", "k", "slot", "t", "open"])
+                out += [(row, host, k, x.slot, _hash(text), not x.apart, y) for k, ((x, text), y) in enumerate(zip(blocks, _likely(blocks)))]
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["__row", "host", "k", "slot", "t", "open", "likely"])
 
     return run
 
@@ -277,13 +277,10 @@ def _aligned(references: dict[str, str] | None):
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for source, drop in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+        for source, other in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             _, blocks = parse(source or "")
-            if _undecided(blocks):
-                drop = set(drop or ())
-                kept = [t for k, (x, t) in enumerate(blocks) if not x.apart and k not in drop]
-            else:
-                kept = [t for x, t in blocks if x.main and not x.apart]
+            other = set(other or ())
+            kept = [t for k, ((_, t), y) in enumerate(zip(blocks, _likely(blocks))) if y != (k in other)]
             texts.append("\n".join(kept))
         n = [len(t) for t in texts]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:3], pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -306,18 +303,21 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     reference = reference.select("host", F.col("html").alias("ref"))
     if pick.limit(HOSTS_SENT + 1).count() <= HOSTS_SENT and reference.agg(F.coalesce(F.sum(F.length("ref")), F.lit(0))).first()[0] < 32 << 20:
         sent = {r[0]: r[1] for r in reference.collect()}
-        aligned = filled.select(ROW, "host", "html").mapInArrow(_aligned(sent), "__row long, host string, k int, slot int, t long, open boolean")
+        aligned = filled.select(ROW, "host", "html").mapInArrow(_aligned(sent), "__row long, host string, k int, slot int, t long, open boolean, likely boolean")
     else:
         with_ref = filled.join(reference, "host").select(ROW, "host", "html", "ref")
-        aligned = with_ref.mapInArrow(_aligned(None), "__row long, host string, k int, slot int, t long, open boolean")
+        aligned = with_ref.mapInArrow(_aligned(None), "__row long, host string, k int, slot int, t long, open boolean, likely boolean")
     aligned = saved(aligned)
     shown = aligned.select("host", "slot", "t", ROW).distinct().groupBy("host", "slot", "t").agg(F.count(F.lit(1)).alias("n"))
     asked = aligned.select("host", ROW).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     constant = shown.where(F.col("n") >= LEAST_PAGES).join(asked, "host").where(F.col("n") >= F.col("pages") * CONSTANT_SHARE)
-    drop = aligned.where("open").join(constant.select("host", "slot", "t"), ["host", "slot", "t"])
-    drop = saved(drop.groupBy(ROW).agg(F.collect_list("k").alias("drop")))
-    some, rest = split_by_keys(rows.select(ROW, "page_id", "url", "html"), drop)
-    both = some.join(drop, ROW, "left")
+    slots = shown.where("slot >= 0").groupBy("host", "slot").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    varying = slots.where((F.col("n") >= LEAST_PAGES) & (F.col("most") < F.col("n") * CONSTANT_SHARE)).select("host", "slot")
+    template = aligned.where("open and likely").join(constant.select("host", "slot", "t"), ["host", "slot", "t"]).select(ROW, "k")
+    content = aligned.where("open and not likely").join(varying, ["host", "slot"]).select(ROW, "k")
+    other = saved(template.unionByName(content).groupBy(ROW).agg(F.collect_list("k").alias("other")))
+    some, rest = split_by_keys(rows.select(ROW, "page_id", "url", "html"), other)
+    both = some.join(other, ROW, "left")
     if rest is not None:
-        both = both.unionByName(rest.withColumn("drop", F.lit(None).cast("array<int>")))
+        both = both.unionByName(rest.withColumn("other", F.lit(None).cast("array<int>")))
     return both.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -229,8 +229,21 @@ def test_html(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_slots_decide_where_they_disagree_with_tags(spark):
+    page = "<body><h1>Title {0}</h1><div>Shop of the house</div><article><p>Own words {0}</p><div>Write to us every day</div><p>More of {0}</p></article></body>"
+    rows = [(i, f"http://d.example/{i}", page.format(f"n{i}")) for i in range(8)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 8 and all(r["text"] == "Title n{0}\nOwn words n{0}\nMore of n{0}".format(r["page_id"]) for r in got)
+
+
 def test_html_footer_of_pages_with_many_blocks(spark):
     page = lambda i, n: "<body>" + "".join(f"<p>Paragraph {k} of page {i}</p>" for k in range(n)) + "<div>Same notice</div></body>"
+    short, long = html_extract.parse(page(0, 5))[0], html_extract.parse(page(1, 150))[0]
+    for k, x in enumerate(html_extract.number(short)):
+        x.slot = k
+    html_extract.number(long)
+    html_extract.match(long, short)
+    assert long.kids[-1].slot == short.kids[-1].slot
     sizes = [5, 6, 7, 8, 9, 70, 150, 300]
     got = html_extract.extract_pages(spark.createDataFrame([(i, f"http://c.example/{i}", page(i, n)) for i, n in enumerate(sizes)], "page_id long, url string, html string"))
     for r in got.collect():
