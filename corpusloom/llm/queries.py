@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, html_extract, line_dedup, lm_score, near_dedup, packing, secrets, suffix_dedup, toxicity, vector_dedup
+from corpusloom.llm import (
+    decontaminate,
+    hard_negatives,
+    html_extract,
+    line_dedup,
+    lm_score,
+    mixing,
+    near_dedup,
+    packing,
+    ranked_search,
+    secrets,
+    suffix_dedup,
+    toxicity,
+    vector_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +239,88 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
+_OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, cast(list_inner_product(a.e, b.e) AS bigint) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM s WHERE same) WHERE n <= 5),
+n AS (
+  SELECT anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, cast(rank AS integer) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op11_hard_negatives", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", moved), anchor=F.col("vec_id") % 50 == 0)
+
+
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         -ln((cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '')), 1, 13) AS bigint) + 0.5) / 4503599627370496.0)
+           / coalesce(q, 1.0) AS key
+  FROM documents LEFT JOIN (SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END AS q FROM labels GROUP BY doc_id) USING (doc_id)),
+s AS (
+  SELECT source, source_size, 2.0 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST)) % 3 WHEN 1 THEN 3.0 WHEN 2 THEN 1.0 ELSE 2.0 END AS w
+  FROM (SELECT source, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY source)),
+k AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k FROM s),
+f AS (
+  SELECT a.k, (SELECT 1.5 * sum(source_size) FROM s) AS goal, coalesce(sum(b.cap) FILTER (b.k < a.k), 0) AS full_, sum(b.w) FILTER (b.k >= a.k) AS left_, any_value(a.cap / a.w) AS ratio
+  FROM k a, k b GROUP BY a.k),
+rate AS (SELECT (goal - full_) / left_ AS r FROM f WHERE (goal - full_) / left_ < ratio ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, least(cap, coalesce(r, 0) * w) AS target FROM s LEFT JOIN rate ON true),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs
+  FROM (SELECT *, least(cast(round(target) AS bigint), 2 * source_size) AS budget FROM t)),
+o AS (
+  SELECT doc_id, size, source_size, target, epochs, budget - epochs * source_size
+           - coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, cast(size AS bigint) AS size, source_size, target, cast(epochs * size + greatest(0, least(size, room)) AS bigint) AS taken FROM o
+"""
+
+
+@query("op12_source_mixing", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality weights are 2, 1 and 0.5 for documents labelled good, not labelled and labelled bad."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(marks, "doc_id", "left")
+    weight = F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0)
+    return mixing.mix_sources(docs, quality=weight).drop("source", "epochs")
+
+
+_OP13_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+size AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+total AS (SELECT count(*) AS nn, cast(sum(n) AS bigint) AS ll FROM size),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY doc_id, t),
+weight AS (SELECT t, cast(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS bigint) AS w FROM tf, total GROUP BY t),
+score AS (
+  SELECT item_id, doc_id, cast(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS bigint) AS score
+  FROM (SELECT item_id, t, count(*) AS k FROM q GROUP BY item_id, t) JOIN weight USING (t) JOIN tf USING (t) JOIN size USING (doc_id), total
+  GROUP BY item_id, doc_id)
+SELECT item_id, cast(rank AS integer) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op13_ranked_search", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
