@@ -94,6 +94,10 @@ def compress_ids(ids: DataFrame) -> DataFrame:
     return g.select("major", F.concat(prefix, F.array_join(F.transform("ls", lambda x: x["l"]), ", ")).alias("label"))
 
 
+#: Stems of a question that do not count towards a rescue.
+RESCUE_NOISE = [w for w in CATALOG_NOISE if w not in ("list", "all", "show", "give", "name", "that", "and", "with")]
+
+
 def rule_sort_key(ident: Column) -> Column:
     """Dotted ids in numeric order: every part left-padded."""
     return F.array_join(F.transform(F.split(ident, r"\."), lambda p: F.lpad(p, 6, "0")), ".")
@@ -215,37 +219,6 @@ def profile_digest(profiles: DataFrame, shards: int = 256) -> DataFrame:
     return n.agg(F.sum("n").alias("n_profiles"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("shard", "d"))), ""), 256).alias("digest"))
 
 
-def resolve_reference(cands: DataFrame, floor: float = V.MIN_RETRIEVAL_SCORE) -> DataFrame:
-    """Accept, or call ambiguous, the best profile per query.
-
-    ``cands``: the rescored few per query with ``query_id, rule_id, similarity, semantic_rank,
-    hits, n_queries, rescore``.
-    """
-    w = Window.partitionBy("query_id")
-    c = cands.withColumn("pair_rank", F.row_number().over(w.orderBy(F.round("rescore", 9).desc(), F.col("semantic_rank"))))
-    at = lambda col, cond: F.max(F.when(cond, F.col(col)))
-    p1, p2 = F.col("pair_rank") == 1, F.col("pair_rank") == 2
-    s1, s2 = F.col("semantic_rank") == 1, F.col("semantic_rank") == 2
-    z = lambda e: F.coalesce(e, F.lit(0.0))
-    g = c.groupBy("query_id").agg(
-        at("rule_id", p1).alias("top_id"), z(at("rescore", p1)).alias("top"), z(at("rescore", p2)).alias("second"),
-        at("semantic_rank", p1).alias("top_srank"), z(at("similarity", p1)).alias("top_sim"),
-        at("rule_id", s1).alias("lead_id"), z(at("similarity", s1)).alias("lead_sim"), z(at("similarity", s2)).alias("next_sim"),
-        z(at("rescore", s1)).alias("lead_pair"), at("pair_rank", s1).alias("lead_prank"), at("hits", s1).alias("lead_hits"),
-        F.max("n_queries").alias("n_queries"))
-    m, sm = F.col("top") - F.col("second"), F.col("lead_sim") - F.col("next_sim")
-    strict = (F.col("top") >= floor) & (F.col("top_srank") <= 3) & (
-        ((F.col("top") >= 0.82) & (m >= 0.025)) | ((F.col("top") >= 0.68) & (m >= 0.060))
-        | ((m >= 0.100) & (F.col("top_srank") == 1)) | ((F.col("top_srank") == 1) & (sm >= 0.035) & (F.col("top") >= 0.62) & (m >= 0.040)))
-    single = (F.col("n_queries") == 1) & (F.col("top_id") == F.col("lead_id")) & (F.col("lead_sim") >= 0.69) & (sm >= 0.060) & F.col("lead_pair").between(0.020, floor - 1e-9)
-    gap = F.greatest(F.lit(0.0), F.col("top") - F.col("lead_pair"))
-    consensus = (F.col("n_queries") > 1) & (F.col("lead_sim") >= 0.68) & (sm >= 0.025) & (F.col("lead_hits") >= F.col("n_queries")) & (F.col("lead_prank") <= 2) & (F.col("lead_pair") >= 0.020) & (
-        (F.col("top_id") == F.col("lead_id")) | ((gap <= 0.035) & (F.col("lead_sim") - F.col("top_sim") >= 0.020)))
-    basis = F.when(strict, "strict").when(single, "single_query_agreement").when(consensus, "consensus").otherwise("ambiguous")
-    chosen = F.when(strict, F.col("top_id")).when(single | consensus, F.col("lead_id"))
-    return g.select("query_id", chosen.alias("rule_id"), basis.alias("basis"), F.col("top"), m.alias("margin"))
-
-
 def phrase_cue_match(cues: DataFrame, standards: DataFrame, k: int = 6) -> DataFrame:
     """Rule bodies matching a cue phrase: phrase hit, or most of its tokens; best row per reference.
 
@@ -290,8 +263,7 @@ def role_aware_pool(pool: DataFrame, limit: int = 14) -> DataFrame:
 
 def near_threshold_rescue(cands: DataFrame, slots: int = 3, floor: float = V.MIN_RETRIEVAL_SCORE) -> DataFrame:
     """Requirement bodies just below the floor whose statement shares enough query stems."""
-    noise = [w for w in CATALOG_NOISE if w not in ("list", "all", "show", "give", "name", "that", "and", "with")]
-    stems = F.filter(F.array_distinct(F.transform(F.split(T.normalize_text("query"), " "), T.catalog_stem)), lambda t: (F.length(t) >= 3) & ~t.isin(noise))
+    stems = F.filter(F.array_distinct(F.transform(F.split(T.normalize_text("query"), " "), T.catalog_stem)), lambda t: (F.length(t) >= 3) & ~t.isin(RESCUE_NOISE))
     c = cands.where((F.col("rescore") >= floor - 0.06) & (F.col("rescore") < floor) & F.col("section_role").isin("requirement", "statement"))
     c = c.withColumn("qs", stems).withColumn("overlap", F.size(F.array_intersect("qs", statement_stems(F.col("text")))))
     need = F.when(F.size("qs") == 1, 1).otherwise(2)

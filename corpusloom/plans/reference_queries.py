@@ -320,67 +320,6 @@ def resolver_questions(spark, sf):
     return p.select(q.alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
 
 
-_RQ = "SELECT DISTINCT 'Is the ' || p_name || ' allowed in ' || lower(p_type) || ' form for ' || p_brand AS query_id, 'Is the ' || p_name || ' allowed in ' || lower(p_type) || ' form for ' || p_brand AS query FROM part"
-
-
-def profile_chunks(spark, sf):
-    p = H.rule_profiles(standards(spark, sf))
-    return p.select(F.col("rule_id").alias("chunk_key"), F.col("profile_text").alias("text"), F.lit("").alias("title"))
-
-
-def resolver_candidates(spark, sf, extra=None):
-    c, q = profile_chunks(spark, sf), resolver_questions(spark, sf)
-    sem = L.coverage_topk(c, q, 8, 0.0)
-    t = sem.join(q, "query_id").join(c.select("chunk_key", "text"), "chunk_key")
-    r = VX.rescore_pairs(t.select("query_id", "chunk_key", "query", "text", "rank", "score")).where("rank <= 5")
-    return r.select("query_id", F.col("chunk_key").alias("rule_id"), F.col("score").alias("similarity"), F.col("prior_rank").alias("semantic_rank"), F.lit(1).alias("hits"), F.lit(1).alias("n_queries"), "rescore")
-
-
-def _cov_profiles_sql() -> str:
-    qt = f"SELECT query_id, len(t) AS n, unnest(t) AS token FROM (SELECT query_id, {D.meaningful('query')} AS t FROM rq)"
-    ct = f"SELECT rule_id, unnest({D.meaningful('profile_text')}) AS token FROM prof"
-    return f"""SELECT * FROM (SELECT query_id, rule_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, matched DESC, rule_id) AS srank FROM (
- SELECT query_id, rule_id, count(*) AS matched, (count(*) / n * 0.68 + count(*) / n * 0.22)::DOUBLE AS score FROM ({qt}) JOIN ({ct}) USING (token) GROUP BY query_id, rule_id, n HAVING n < 3 OR count(*) >= 2)) WHERE srank <= 8"""
-
-
-_RES = f""", prof AS MATERIALIZED ({_PROF}), rq AS MATERIALIZED ({_RQ}), sem AS MATERIALIZED ({_cov_profiles_sql()}),
- cd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rescore, 9) DESC, srank, rule_id) AS prank FROM (SELECT sem.*, {pair_score_sql('query', 'profile_text')} AS rescore FROM sem JOIN rq USING (query_id) JOIN prof USING (rule_id))) WHERE prank <= 5),
- ag AS (SELECT query_id, max(rule_id) FILTER (prank = 1) AS top_id, coalesce(max(rescore) FILTER (prank = 1), 0) AS top, coalesce(max(rescore) FILTER (prank = 2), 0) AS sec, max(srank) FILTER (prank = 1) AS tsr,
-  max(rule_id) FILTER (srank = 1) AS lead_id, coalesce(max(score) FILTER (srank = 1), 0) AS ls, coalesce(max(score) FILTER (srank = 2), 0) AS ns, coalesce(max(rescore) FILTER (srank = 1), 0) AS lp FROM cd GROUP BY query_id),
- de AS (SELECT *, top >= 0.55 AND tsr <= 3 AND ((top >= 0.82 AND top - sec >= 0.025) OR (top >= 0.68 AND top - sec >= 0.06) OR (top - sec >= 0.1 AND tsr = 1) OR (tsr = 1 AND ls - ns >= 0.035 AND top >= 0.62 AND top - sec >= 0.04)) AS strict,
-  top_id = lead_id AND ls >= 0.69 AND ls - ns >= 0.06 AND lp BETWEEN 0.02 AND 0.55 - 1e-9 AS single FROM ag)"""
-
-
-@query(
-    "resolve_reference",
-    _W + _RES + " SELECT query_id, CASE WHEN strict THEN top_id WHEN coalesce(single, false) THEN lead_id END AS rule_id, CASE WHEN strict THEN 'strict' WHEN coalesce(single, false) THEN 'single_query_agreement' ELSE 'ambiguous' END AS basis, round(top, 6) AS top, round(top - sec, 6) AS margin FROM de",
-)
-def _(spark, sf):
-    r = H.resolve_reference(resolver_candidates(spark, sf))
-    return r.select("query_id", "rule_id", "basis", F.round("top", 6).alias("top"), F.round("margin", 6).alias("margin"))
-
-
-@query("verify_resolved", _W + _RES + " SELECT query_id, top_id AS rule_id FROM de WHERE strict AND top_id IN (SELECT rule_id FROM std WHERE section_role = 'requirement')")
-def _(spark, sf):
-    r = H.resolve_reference(resolver_candidates(spark, sf)).where("basis = 'strict'")
-    return r.join(standards(spark, sf).where(H.BODY).select("rule_id"), "rule_id", "left_semi").select("query_id", "rule_id")
-
-
-@query(
-    "ambiguity_bundle",
-    _W + _RES + """ SELECT query_id, rule_id, pos FROM (SELECT query_id, cd.rule_id, row_number() OVER (PARTITION BY query_id ORDER BY srank) AS pos FROM cd JOIN de USING (query_id) WHERE NOT strict AND NOT coalesce(single, false)
- AND score >= 0.68 AND ls - score <= 0.025 AND abs(lp - rescore) <= 0.035) WHERE pos <= 3""",
-)
-def _(spark, sf):
-    c = resolver_candidates(spark, sf)
-    open_q = H.resolve_reference(c).where("basis = 'ambiguous'").select("query_id")
-    lead = c.where("semantic_rank = 1").select("query_id", F.col("similarity").alias("ls"), F.col("rescore").alias("lp"))
-    j = c.join(open_q, "query_id", "left_semi").join(lead, "query_id")
-    j = j.where((F.col("similarity") >= 0.68) & (F.col("ls") - F.col("similarity") <= 0.025) & (F.abs(F.col("lp") - F.col("rescore")) <= 0.035))
-    j = j.join(standards(spark, sf).where(H.BODY).select("rule_id"), "rule_id", "left_semi")
-    return top_k_per(j, ["query_id"], [F.col("semantic_rank").asc()], 3, "pos").select("query_id", "rule_id", F.col("pos").cast("bigint"))
-
-
 def cues(spark, sf):
     p = X.table(spark, sf, "part").select(F.concat_ws(" ", "p_name", F.lit("in"), F.lower("p_type"), F.lit("form")).alias("phrase")).distinct()
     return p.select(F.col("phrase").alias("cue_id"), "phrase")
@@ -398,17 +337,6 @@ def _(spark, sf):
     return r.select("cue_id", "rule_id", "chunk_key", F.round("coverage", 6).alias("coverage"), "matched", F.col("rank").cast("bigint"))
 
 
-@query("resolve_widened")
-def _(spark, sf):
-    """Ambiguous questions are resolved again over their cue phrasing fused with the original."""
-    base = resolver_candidates(spark, sf)
-    first = H.resolve_reference(base)
-    open_q = first.where("basis = 'ambiguous'").select("query_id")
-    again = base.join(open_q, "query_id", "left_semi").withColumns({"hits": F.lit(2), "n_queries": F.lit(2)})
-    second = H.resolve_reference(again).withColumn("pass", F.lit(2))
-    return first.where("basis <> 'ambiguous'").withColumn("pass", F.lit(1)).unionByName(second).select("query_id", "rule_id", "basis", F.col("pass").cast("bigint"))
-
-
 def std_pool(spark, sf):
     """Candidate list per question over all standard chunks."""
     c = standards(spark, sf).select("chunk_key", "text", F.lit("").alias("title"))
@@ -419,24 +347,3 @@ def std_pool(spark, sf):
 @query("role_aware_pool")
 def _(spark, sf):
     return H.role_aware_pool(std_pool(spark, sf)).select("query_id", "chunk_key", F.col("pos").cast("bigint"))
-
-
-@query("near_threshold_rescue")
-def _(spark, sf):
-    p = std_pool(spark, sf).join(resolver_questions(spark, sf), "query_id")
-    r = VX.rescore_pairs(p.select("query_id", "chunk_key", "query", "text", "rank", "section_role", "rule_id")).withColumn("hits", F.lit(0))
-    return H.near_threshold_rescue(r).select("query_id", "chunk_key", F.round("rescore", 6).alias("rescore"), F.col("pos").cast("bigint"))
-
-
-@query(
-    "cue_promotion",
-    _W + _RES + f", cue AS MATERIALIZED (SELECT DISTINCT rule_id AS cr FROM ({_CUE}) WHERE rank = 1) SELECT query_id, top_id AS result_rule, CASE WHEN cr IS NOT NULL THEN 'promoted' ELSE 'kept' END AS action FROM de LEFT JOIN cue ON cr = top_id",
-)
-def _(spark, sf):
-    c = resolver_candidates(spark, sf)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.round("rescore", 9).desc(), "semantic_rank")
-    top = c.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", F.col("rule_id").alias("result_rule"))
-    cue = H.phrase_cue_match(cues(spark, sf), standards(spark, sf)).where("rank = 1").select(F.col("rule_id").alias("result_rule")).distinct().withColumn("p", F.lit(True))
-    return top.join(cue, "result_rule", "left").select("query_id", "result_rule", F.when(F.col("p"), "promoted").otherwise("kept").alias("action"))

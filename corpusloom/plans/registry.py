@@ -36,6 +36,7 @@ def load_all() -> None:
         lexical_queries,
         question_queries,
         reference_queries,
+        resolver_queries,
         source_queries,
         stream_queries,
         structure_queries,
