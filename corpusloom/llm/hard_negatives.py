@@ -55,8 +55,10 @@ def _lengths(scale: float):
         for batch in batches:
             flat, at = _matrix(batch.column(0))
             for dim in np.unique(np.diff(at)):
+                if not dim:
+                    continue
                 rows, x = _whole(flat, at, int(dim), scale)
-                if dim and len(rows):
+                if len(rows):
                     old = seen.setdefault(int(dim), [0, 0.0])
                     old[0] += len(rows)
                     old[1] = max(old[1], float(np.abs(x).max()))
