@@ -70,7 +70,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, sha
 
 def mix_sources(
     docs: DataFrame,
-    quality: Column | None = None,
+    quality: DataFrame | None = None,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     most: float = MOST_EPOCHS,
@@ -83,16 +83,20 @@ def mix_sources(
     and ``taken`` words of the document in all.  A source's ``taken`` add up to its target rounded to whole words: the last
     document of the sample gives the words that are left, so no document exceeds ``most`` epochs rounded up.
 
-    ``quality`` is the rate of the sampling key (null: 1; zero, negative or NaN: after all others).  Null or empty texts have
-    size 0 and take 0; a null source is a source of its own, last in order.  Equal keys go by doc_id, nulls first, then by
+    ``quality(doc_id, weight)`` gives the rates of the sampling keys, the largest of several for an id (none or null: 1;
+    zero, negative or NaN: after all others); it meets the narrow table, never the texts.  Null or empty texts have size 0 and take 0; a null source is a source of its own, last in order.  Equal keys go by doc_id, nulls first, then by
     size; rows that agree in all of these are interchangeable.  An empty table gives no rows; other columns are ignored.
 
     A hot source is aggregated map-side, its lookup is broadcast or salted, and only one slice of about
     ``slice_docs`` documents of it is sorted.
     """
-    key = sampling_key(draw(F.col("doc_id")), F.lit(1.0) if quality is None else quality)
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
-    rows = saved(rows)
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    if quality is None:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    else:
+        rows = rows.join(quality.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
+    key = sampling_key(draw(F.col("doc_id")), F.col("weight"))
+    rows = saved(rows.select("doc_id", "source", "size", key.alias("key")))
     sources = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("key") < float("inf"), F.col("key"))).alias("mean")
     )

@@ -273,7 +273,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
          -ln((cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '')), 1, 13) AS bigint) + 0.5) / 4503599627370496.0)
            / coalesce(q, 1.0) AS key
-  FROM documents LEFT JOIN (SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END AS q FROM labels GROUP BY doc_id) USING (doc_id)),
+  FROM documents LEFT JOIN (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END) AS q FROM labels GROUP BY doc_id) USING (doc_id)),
 s AS (
   SELECT source, source_size, 2.0 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST)) % 3 WHEN 1 THEN 3.0 WHEN 2 THEN 1.0 ELSE 2.0 END AS w
   FROM (SELECT source, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY source)),
@@ -297,10 +297,9 @@ SELECT doc_id, cast(size AS bigint) AS size, source_size, target, cast(epochs *
 @query("op12_source_mixing", _OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality weights are 2, 1 and 0.5 for documents labelled good, not labelled and labelled bad."""
-    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(marks, "doc_id", "left")
-    weight = F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0)
-    return mixing.mix_sources(docs, quality=weight).drop("source", "epochs")
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
+    marks = table(spark, sf_dir, "labels").select("doc_id", weight.alias("weight"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), quality=marks).drop("source", "epochs")
 
 
 _OP13_SQL = r"""
