@@ -1,68 +1,181 @@
 """The whole retrieval cascade for a batch of questions.
 
-Each stage answers some questions; later stages only see what is left (anti joins), so
-the cheap routes shrink the input of the expensive ones.
+Every question gets one route.  Structured look-ups decide first, from references and titles alone; then the
+proofs that one chunk answers, or that nothing can; only what is left pays for the search over several wordings, the
+feature pools, rescoring and the gates.  Each stage reads only the questions that reached it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import intents as I
+from corpusloom.functions import references as R
+from corpusloom.functions import text as T
 from corpusloom.functions import vocab as V
 from corpusloom.operators import fusion as G
 from corpusloom.operators import lexical as L
+from corpusloom.operators import refs as H
 from corpusloom.operators import vectors as VX
-from corpusloom.operators.scale import materialized, top_k_per
+from corpusloom.operators.resolver import question_arms
+from corpusloom.operators.scale import materialized, top_k_per, union_rows
 
 RESULT = ["query_id", "chunk_key", "route", "pos", "score"]
+STRUCTURED = ["comparison", "exact", "family", "unknown_reference", "section_title", "catalog"]
+#: Routes that end without a row on purpose.
+STOPS = ["unknown_reference", "out_of_corpus", "unanswered"]
 
 
-def _without(df: DataFrame, *answered: DataFrame) -> DataFrame:
-    for a in answered:
-        df = df.join(a.select("query_id").distinct(), "query_id", "left_anti")
-    return df
+def _rows(df: DataFrame, route: str) -> DataFrame:
+    return df.select(F.col("question_id").alias("query_id"), F.col("chunk_key").cast("string").alias("chunk_key"), F.col("pos").cast("bigint").alias("pos"), F.lit(route).alias("route"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, exact: DataFrame | None = None) -> DataFrame:
-    """``query_id, chunk_key, route, pos, score`` for every answerable question.
+def structured_routes(queries: DataFrame, standards: DataFrame) -> DataFrame:
+    """``query_id, route, chunk_key, pos`` of questions that references, section titles or the rule catalogue answer.
+
+    In this order, the first that applies: ``comparison`` (two or more rule or directive ids, one of them known: the groups of
+    all known ones), ``exact`` (the group of the first reference), ``family`` (a bare major number with rules below it),
+    ``unknown_reference`` (a rule or directive id that no heading has: one row without a chunk, nothing is substituted),
+    ``section_title`` and, for list requests about rules, ``catalog``.
+    """
+    q = queries.select(F.col("query_id").alias("question_id"), F.col("query").alias("question"))
+    refs = materialized(R.explode_references(q, "question_id", "question"))
+    seeds = materialized(H.exact_reference(refs, standards))
+    group = materialized(H.reference_group(seeds, standards))
+    rules = refs.where("kind in ('rule', 'directive')").groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    place = Window.partitionBy("question_id").orderBy("ref_no", "file_key", "pos")
+    several = group.where("kind in ('rule', 'directive')").join(rules, "question_id", "left_semi")
+    several = several.withColumn("d", F.row_number().over(Window.partitionBy("question_id", "chunk_key").orderBy("ref_no", "pos"))).where("d = 1")
+    comparison = several.withColumn("pos", F.row_number().over(place))
+    single = group.where("ref_no = 1").withColumn("pos", F.row_number().over(place))
+    first = refs.where("ref_no = 1").join(seeds.where("ref_no = 1").select("question_id").distinct(), "question_id", "left_anti")
+    bare = first.where(F.col("kind").eqNullSafe("rule") & F.col("identifier").rlike(r"^[0-9]+$")).select("question_id", F.col("identifier").cast("bigint").alias("major"))
+    members = standards.where(H.BODY).select("major", "chunk_key", H.rule_sort_key(F.col("rule_id")).alias("key"))
+    family = bare.join(members, "major").withColumn("pos", F.row_number().over(Window.partitionBy("question_id").orderBy("key", "chunk_key")))
+    unknown = first.where("kind in ('rule', 'directive')").join(family.select("question_id").distinct(), "question_id", "left_anti")
+    unknown = unknown.select("question_id", F.lit(None).cast("string").alias("chunk_key"), F.lit(0).alias("pos"))
+    sections = standards.where("section_role = 'document_section'").select(F.col("chunk_key").alias("section_key"), F.col("section_title").alias("title"))
+    titled = H.section_title_match(q, sections).select("question_id", F.col("section_key").alias("chunk_key"), F.lit(1).alias("pos"))
+    asks = q.where(I.retrieval_intents(F.col("question"))["list_query"] & F.lower("question").rlike(r"\brules?\b"))
+    listed = H.rule_catalog(asks, standards).withColumn("key", H.rule_sort_key(F.col("rule_id")))
+    listed = listed.withColumn("pos", F.row_number().over(Window.partitionBy("question_id").orderBy("key", "chunk_key")))
+    parts = [comparison, single, family, unknown, titled, listed]
+    found = materialized(union_rows([_rows(p, r) for p, r in zip(parts, STRUCTURED)]))
+    order = F.array_position(F.array(*[F.lit(r) for r in STRUCTURED]), F.col("route"))
+    best = found.groupBy("query_id").agg(F.min_by("route", order).alias("route"))
+    return materialized(found.join(best, ["query_id", "route"]))
+
+
+def _search(arms: DataFrame, chunks: DataFrame, k: int = V.TOP_K) -> tuple[DataFrame, DataFrame]:
+    """Lexical and coverage results of every arm as ``query_id, variant, chunk_key, score, rank``."""
+    keyed = arms.select(F.concat_ws("#", "query_id", "arm").alias("query_id"), "query")
+
+    def apart(df: DataFrame) -> DataFrame:
+        return materialized(df.select(
+            F.regexp_extract("query_id", r"^(.*)#[0-9]+$", 1).alias("query_id"), F.regexp_extract("query_id", r"#([0-9]+)$", 1).cast("bigint").alias("variant"), "chunk_key", "score", "rank"))
+
+    return apart(L.bm25_topk(chunks, keyed, k)), apart(L.coverage_topk(chunks, keyed, k))
+
+
+def _out_of_corpus(queries: DataFrame, chunks: DataFrame, pool: DataFrame) -> DataFrame:
+    kind = I.direct_relation_kind(F.col("query"))
+    ident = I.retrieval_intents(F.col("query"))["identity_query"]
+    target = F.when(ident, F.slice(T.query_topic_tokens("query"), 1, 8)).otherwise(I.relation_anchors(F.col("query"), kind))
+    asked = queries.select("query_id", F.array_join(target, " ").alias("query"))
+    return G.ood_reject(queries, L.token_presence(chunks, asked), pool).select("query_id")
+
+
+def _facet_hits(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates of every facet of the compound questions, and how many facets each has."""
+    f = queries.withColumn("f", I.facet_queries(I.split_facets(F.col("query")))).where("size(f) >= 2")
+    arms = f.select("query_id", F.posexplode("f").alias("i", "query")).select("query_id", (F.col("i") + 1).alias("arm"), "query")
+    lex, vec = _search(materialized(arms), chunks, 8)
+    key = lambda d: d.select(F.struct("query_id", "variant").alias("query_id"), "chunk_key", "score", "rank")
+    hits = G.hybrid_merge(key(vec), key(lex))
+    return hits.select("query_id.query_id", F.col("query_id.variant").alias("facet_no"), "chunk_key", "score"), f.select("query_id", F.size("f").alias("n_facets"))
 
-    ``queries(query_id, query)``; ``chunks`` needs ``chunk_key, file_key, file_name, title,
-    text, chunk_id, total_chunks``.  ``exact`` holds rows already resolved by structured
-    reference lookup (``query_id, chunk_key, pos``).
 
-    The feature pool, the fast answers and the final rows are read by several later stages; each is computed
-    once (candidates only, so they grow with the questions), and so no stage plans its predecessors again.
+def retrieve(queries: DataFrame, chunks: DataFrame, standards: DataFrame | None = None, variants: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Routes (``query_id, route``, one row a question) and results (``query_id, chunk_key, route, pos, score``).
+
+    ``queries(query_id, query)``; ``chunks`` needs ``chunk_key, file_key, file_name, title, text, chunk_id, total_chunks`` and, where it
+    holds rule bodies, ``section_role``; ``standards`` is the structured table of ``refs``; ``variants(query_id, variant_no, variant)`` are
+    checked rewrites.  Routes are those of ``structured_routes``, then ``identity_fast``, ``relation_fast``, ``out_of_corpus`` (no row),
+    ``hybrid``, ``rescue``, and ``unanswered`` (no row).
+
+    Texts are scanned by the lexical and the coverage search of all arms at once, by those of the facets, by the presence
+    test, by the rescue and by the joins that fetch candidate texts: a fixed number of scans.  Pools hold at most a few
+    dozen candidates a question.
     """
-    done = []
-    todo = queries
-    if exact is not None:
-        e = exact.select("query_id", "chunk_key", F.lit("exact").alias("route"), "pos", F.lit(1.0).alias("score"))
-        done.append(e)
-        todo = _without(todo, e)
-    lex = L.bm25_topk(chunks, todo)
-    vec = L.coverage_topk(chunks, todo, V.TOP_K)
-    pool = materialized(G.with_features(G.hybrid_merge(vec, lex), chunks, todo))
-    fast_i = materialized(G.identity_fast_path(pool).select(
-        "query_id", "chunk_key", F.lit("identity_fast").alias("route"), F.lit(1).alias("pos"), "score"))
-    fast_r = G.relation_fast_path(pool).select(
-        "query_id", "chunk_key", F.lit("relation_fast").alias("route"), F.lit(1).alias("pos"), "score")
-    fast_r = _without(fast_r, fast_i)
-    fast = materialized(fast_i.unionByName(fast_r))
-    rest = _without(pool, fast)
-    useful = G.identity_noise_filter(G.low_value_filter(G.informative_order(rest.drop("prior_rank"))))
-    ranked = VX.rescore_pairs(useful.drop("prior_rank"))
-    ok = G.confidence_gate(ranked)
-    ok = G.rerank(ok.drop("prior_rank").withColumnRenamed("rank", "prior_rank"), F.col("prior_rank").asc())
-    capped = G.diversity_cap(ok, G.per_file_cap())
+    q = materialized(queries.select(F.col("query_id").cast("string").alias("query_id"), "query"))
+    empty = q.select("query_id", F.lit("").alias("chunk_key"), F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("route")).limit(0)
+    structured = structured_routes(q, standards) if standards is not None else empty
+    rest = materialized(q.join(structured.select("query_id").distinct(), "query_id", "left_anti"))
+    arms = question_arms(rest) if variants is None else question_arms(rest, variants.withColumn("query_id", F.col("query_id").cast("string"))).join(rest.select("query_id"), "query_id", "left_semi")
+    arms = materialized(arms)
+    lex, vec = _search(arms, chunks)
+
+    # proofs by one wording
+    own = lambda d: d.where("variant = 0").drop("variant")
+    pool = materialized(G.with_features(G.hybrid_merge(own(vec), own(lex)), chunks, rest))
+    fast_i = G.identity_fast_path(pool).select("query_id", "chunk_key", F.lit("identity_fast").alias("route"), "score")
+    fast_r = G.relation_fast_path(pool).select("query_id", "chunk_key", F.lit("relation_fast").alias("route"), "score")
+    fast = materialized(union_rows([fast_i, fast_r]))
+    fast = materialized(top_k_per(fast, ["query_id"], [F.col("route").asc()], 1, "pos"))
+    ood = materialized(_out_of_corpus(rest, chunks, pool).join(fast, "query_id", "left_anti"))
+    gone = union_rows([fast.select("query_id"), ood])
+    open_q = materialized(rest.join(gone, "query_id", "left_anti"))
+
+    # search over all wordings and facets; one wording passes through unchanged
+    fused = [G.rrf_fuse(d.join(open_q, "query_id", "left_semi")).select("query_id", "chunk_key", "score", "rank") for d in (vec, lex)]
+    merged = G.hybrid_merge(*fused)
+    facets, n_facets = _facet_hits(open_q, chunks)
+    merged = materialized(G.facet_augment(merged, facets))
+    full = G.with_features(merged, chunks, open_q)
+    full = materialized(G.informative_order(G.top_source_focus(full).drop("prior_rank")))
+
+    # pools by kind of question
+    plain = full.where("not list_query and not compound_query")
+    noisy = G.identity_noise_filter(G.low_value_filter(plain))
+    known = G.identity_pool(full.where("not list_query and not compound_query and is_identity"), noisy.where("is_identity"))
+    lists = G.list_score(full.where("list_query and not compound_query"))
+    lists = top_k_per(lists.drop("rank"), ["query_id"], [F.round("list_score", 9).desc(), F.col("chunk_key").asc()], V.COMPLETENESS_TOP_K * 2, "rank")
+    parts = G.facet_select(full.where("compound_query"), 16)
+    cols = ["query_id", "chunk_key", "rank", "query", "query_tokens", "text", "text_tokens", "file_key", "facets", "short_query", "list_query", "compound_query"]
+    cols += [c for c in ("section_role",) if c in chunks.columns]
+    ready = union_rows([d.select(*cols) for d in (noisy.where("not is_identity"), known, lists, parts)])
+    ranked = materialized(VX.rescore_pairs(ready))
+
+    # gates: compound questions cover their facets, lists keep neighbours, rule bodies near the floor may fill free slots
     final_k = F.when(F.col("list_query"), V.COMPLETENESS_TOP_K).otherwise(V.FINAL_TOP_K)
-    final = materialized(top_k_per(capped, ["query_id"], [F.col("rank").asc()], final_k, "pos").select(
-        "query_id", "chunk_key", F.lit("hybrid").alias("route"), "pos", F.col("rescore").alias("score")))
-    saved = G.empty_rescue(_without(todo, fast), final, chunks).select(
-        "query_id", "chunk_key", F.lit("rescue").alias("route"), "pos", F.col("rescore").alias("score"))
-    for part in (fast, final, saved):
-        done.append(part)
-    out = done[0].select(*RESULT)
-    for part in done[1:]:
-        out = out.unionByName(part.select(*RESULT))
-    return out
+    ok = G.rerank(G.confidence_gate(ranked).drop("prior_rank").withColumnRenamed("rank", "prior_rank"), F.col("prior_rank").asc())
+    capped = G.diversity_cap(ok.where("not compound_query"), G.per_file_cap())
+    best = top_k_per(capped, ["query_id"], [F.col("rank").asc()], final_k, "pos").select("query_id", "chunk_key", "pos", F.col("rescore").alias("score"))
+    covered = G.facet_cover(ok.where("compound_query"), n_facets, V.FINAL_TOP_K)
+    late = I.retrieval_intents(F.col("query"))["temporal_comparison"]
+    covered = covered.where(F.col("complete") | ~late).select("query_id", "chunk_key", "pos", F.col("rescore").alias("score"))
+    final = materialized(union_rows([best, covered]))
+    if "section_role" in chunks.columns:
+        final = materialized(_near_threshold(final, ranked))
+
+    saved = G.empty_rescue(open_q, final, chunks).select("query_id", "chunk_key", "pos", F.col("rescore").alias("score"))
+    named = lambda d, r: d.withColumn("route", F.lit(r) if r else F.col("route")).withColumn("chunk_key", F.col("chunk_key").cast("string")).withColumn("pos", F.col("pos").cast("bigint")).select(*RESULT)
+    out = [
+        named(structured.where("chunk_key is not null").withColumn("score", F.lit(1.0)), None),
+        named(fast, None), named(final, "hybrid"), named(saved, "rescue"),
+    ]
+    results = materialized(union_rows(out))
+    answered = results.select("query_id", "route").distinct()
+    stops = union_rows([structured.where("chunk_key is null").select("query_id", "route"), ood.select("query_id", F.lit("out_of_corpus").alias("route"))])
+    routes = q.select("query_id").join(union_rows([answered, stops]), "query_id", "left")
+    return routes.select("query_id", F.coalesce("route", F.lit("unanswered")).alias("route")), results
+
+
+def _near_threshold(final: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Fills a question's free slots with rule bodies just below the floor; a question without any accepted row gets none."""
+    n = final.groupBy("query_id").agg(F.max("pos").alias("n"))
+    near = H.near_threshold_rescue(ranked.withColumn("hits", F.lit(1)), V.FINAL_TOP_K)
+    near = near.withColumnRenamed("pos", "slot").join(n, "query_id").where(F.col("n") + F.col("slot") <= V.FINAL_TOP_K)
+    near = near.join(final.select("query_id", "chunk_key"), ["query_id", "chunk_key"], "left_anti")
+    return union_rows([final, near.select("query_id", "chunk_key", (F.col("n") + F.col("slot")).alias("pos"), F.col("rescore").alias("score"))])

@@ -169,3 +169,16 @@ def block_scan(
 def computed_once(col: Column) -> Column:
     """A generated column: filters on it cannot be rewritten to evaluate its expression again."""
     return F.explode(F.array(col))
+
+
+def union_rows(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union by name.
+
+    Spark 4.1 treats a union of inputs that are partitioned alike as partitioned itself; when adaptive execution then
+    reads one input by its map outputs, the partition counts differ and the query fails, so that is switched off.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out

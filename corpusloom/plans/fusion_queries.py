@@ -14,7 +14,6 @@ from corpusloom.functions import vocab as V
 from corpusloom.operators import fusion as G
 from corpusloom.operators import lexical as L
 from corpusloom.operators import vectors as VX
-from corpusloom.operators.retrieval import retrieve
 from corpusloom.plans import duck as D
 from corpusloom.plans import fixtures as X
 from corpusloom.plans.lexical_queries import QUESTION_TEXTS_SQL, TITLED_SQL, bm25_sql, coverage_sql, question_texts, titled
@@ -92,19 +91,20 @@ _FEAT6 = f"""SELECT *, (score + match + topic + intro + CASE WHEN is_identity TH
 _CHUNK_COLS = "SELECT *, string_split(regexp_replace(text, '^\\s+', ''), chr(10))[1] || '.pdf' AS file_name FROM "
 
 
-def _with(*names: str) -> str:
+def _with(questions: str = QUESTION_TEXTS_SQL, before: str = "") -> str:
+    """The stages of a search over ``questions``; CTEs in ``before`` may stand in for given tables."""
     ctes = {
-        "qs": QUESTION_TEXTS_SQL,
-        "qi": f"SELECT question_id AS query_id, * FROM ({_retrieval_intent_sql()})",
-        "lex": bm25_sql(V.TOP_K, QUESTION_TEXTS_SQL),
-        "vec": coverage_sql(V.TOP_K, V.COVERAGE_MIN_SCORE, QUESTION_TEXTS_SQL),
+        "qs": questions,
+        "qi": f"SELECT question_id AS query_id, * FROM ({_retrieval_intent_sql('(SELECT query_id AS question_id, query AS question FROM qs)')})",
+        "lex": bm25_sql(V.TOP_K, "SELECT * FROM qs"),
+        "vec": coverage_sql(V.TOP_K, V.COVERAGE_MIN_SCORE, "SELECT * FROM qs"),
         "hyb": _hybrid_sql("SELECT * FROM vec", "SELECT * FROM lex"),
         "ch": f"{_CHUNK_COLS} ({X.CHUNKS_SQL})",
         "pool": "SELECT h.*, query, text, file_key, file_name, chunk_id, total_chunks FROM hyb h JOIN qs USING (query_id) JOIN ch USING (chunk_key)",
         "feat": _FEAT6,
         "resc": f"SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY round(rescore, 9) DESC, rank, chunk_key) AS rank FROM (SELECT *, {pair_score_sql('query', 'text')} AS rescore FROM pool)",
     }
-    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({s})" for n, s in ctes.items()) + " "
+    return "WITH " + before + ", ".join(f"{n} AS MATERIALIZED ({s})" for n, s in ctes.items()) + " "
 
 
 W = _with()
@@ -363,7 +363,7 @@ def _(spark, sf):
     return a.select("query_id", "chunk_key", F.col("pos").cast("bigint"))
 
 
-_RESCUE = f""", oq AS MATERIALIZED (SELECT * FROM qs WHERE query_id NOT IN (SELECT query_id FROM resc WHERE rescore >= {V.MIN_RETRIEVAL_SCORE})),
+_RESCUE = f""", oq AS MATERIALIZED (SELECT * FROM qs WHERE query_id NOT IN (SELECT query_id FROM resc JOIN (SELECT query_id, chunk_key FROM hyb WHERE rank = 1) USING (query_id, chunk_key) WHERE rescore >= {V.MIN_RETRIEVAL_SCORE})),
  cv AS ({coverage_sql(V.COVERAGE_TOP_K, 0.40, 'SELECT * FROM oq')}),
  rp AS (SELECT cv.*, query, text, file_key, file_name FROM cv JOIN oq USING (query_id) JOIN ch USING (chunk_key)),
  rf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r10 FROM ({_FEAT6.replace('FROM pool', 'FROM rp')}) WHERE NOT unasked_ref AND noise < 5) WHERE r10 <= 10),
@@ -373,12 +373,6 @@ _RESCUE = f""", oq AS MATERIALIZED (SELECT * FROM qs WHERE query_id NOT IN (SELE
  resq AS (SELECT * FROM (SELECT query_id, chunk_key, rescore, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS pos FROM rd WHERE fp <= {CAP_SQL}) WHERE pos <= 3)"""
 
 
-@query("empty_rescue", W + _RESCUE + " SELECT query_id, chunk_key, round(rescore, 6) AS rescore, pos FROM resq")
-def _(spark, sf):
-    r = G.empty_rescue(question_texts(spark, sf), G.confidence_gate(rescored(spark, sf)), fchunks(spark, sf))
-    return r.select("query_id", "chunk_key", F.round("rescore", 6).alias("rescore"), F.col("pos").cast("bigint"))
-
-
 # ---- fast paths ----------------------------------------------------------------------------------------------
 
 _SUBJ = "CASE WHEN len(tt) >= 2 THEN tt[1] || '(?:\\s+[a-z0-9]+){0,6}\\s+' || tt[-1] ELSE target END"
@@ -395,12 +389,6 @@ _IDP = f""", ip AS (SELECT *, list_filter({D.ordered_distinct(D.topic_words('nq'
   FROM ip5 WHERE source_score >= 2.0 AND file_cov >= 0.8 AND def >= 2.0 AND tmatch >= 0.25) WHERE pick = 1)"""
 
 
-@query("identity_fast_path", W + _IDP + " SELECT query_id, chunk_key, round(def::DOUBLE, 6) AS definition, round(safety, 6) AS safety FROM ifp")
-def _(spark, sf):
-    p = G.identity_fast_path(feature_pool(spark, sf))
-    return p.select("query_id", "chunk_key", F.round("definition", 6).alias("definition"), F.round("safety", 6).alias("safety"))
-
-
 _CUE = "CASE kind " + " ".join(f"WHEN {D.lit(k)} THEN {D.rx('win', p)}" for k, p in G.RELATION_CUES.items()) + " ELSE false END"
 _RFP = f""", rp1 AS (SELECT f.*, (SELECT max(bm25_score) FROM hyb h WHERE h.query_id = f.query_id) AS best, {_KIND.replace('(n,', '(nq,')} AS kind FROM feat f JOIN qi USING (query_id) WHERE NOT is_identity AND NOT list_query AND NOT compound_query
   AND NOT {D.rx('lower(query)', V.RULE_REFERENCE)} AND NOT unasked_ref),
@@ -415,21 +403,6 @@ _RFP = f""", rp1 AS (SELECT f.*, (SELECT max(bm25_score) FROM hyb h WHERE h.quer
  rfp AS (SELECT * FROM rp7 WHERE pick = 1 AND NOT coalesce(nf <> file_key AND safety - ns < 0.75, false))"""
 
 
-@query("relation_fast_path", W + _RFP + " SELECT query_id, chunk_key, kind, round(safety, 6) AS safety FROM rfp")
-def _(spark, sf):
-    p = G.relation_fast_path(feature_pool(spark, sf))
-    return p.select("query_id", "chunk_key", "kind", F.round("safety", 6).alias("safety"))
-
-
-def targets(spark, sf):
-    """Target words per question: identity topic or relation anchors."""
-    q = question_texts(spark, sf)
-    ident = I.retrieval_intents(F.col("query"))["identity_query"]
-    kind = I.direct_relation_kind(F.col("query"))
-    t = F.when(ident, F.slice(T.query_topic_tokens("query"), 1, 8)).otherwise(I.relation_anchors(F.col("query"), kind))
-    return q.select("query_id", F.array_join(t, " ").alias("query"))
-
-
 _OOD = f""", tq AS (SELECT query_id, query, n AS nq, identity_query, compound_query OR list_query AS blocked, {_KIND} AS kind FROM (SELECT *, {D.norm('query')} AS n FROM qs) JOIN qi USING (query_id)),
  tt AS (SELECT *, CASE WHEN identity_query THEN {D.ordered_distinct(D.topic_words('nq', V.QUERY_FILLER_WORDS))}[1:8] ELSE {D.ordered_distinct('a0')}[1:8] END AS target FROM (
   SELECT *, list_filter(string_split(nq, ' '), lambda t_: length(t_)>2 AND t_ NOT IN {D.words(V.RELATION_COMMON_WORDS)} AND NOT list_contains({_OWN}, t_)) AS a0 FROM tq)),
@@ -439,12 +412,6 @@ _OOD = f""", tq AS (SELECT query_id, query, n AS nq, identity_query, compound_qu
  vt AS (SELECT DISTINCT oo.query_id FROM oo JOIN feat f USING (query_id) WHERE CASE WHEN identity_query THEN contains(f.nt, array_to_string(target, ' ')) ELSE len(list_intersect(target, string_split(f.nt, ' '))) >= 2 END)"""
 
 
-@query("ood_reject", W + _OOD + " SELECT query_id, kind, identity_query AS is_identity FROM oo WHERE query_id NOT IN (SELECT query_id FROM vt)")
-def _(spark, sf):
-    pres = L.token_presence(fchunks(spark, sf), targets(spark, sf))
-    return G.ood_reject(question_texts(spark, sf), pres, feature_pool(spark, sf))
-
-
 _BC = """SELECT query_id, string_agg('[Document ' || rank || '] ' || file_key || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM resc WHERE rank <= 3 GROUP BY query_id"""
 
 
@@ -483,9 +450,3 @@ def _(spark, sf):
     pool = G.with_text(hybrid(spark, sf), fchunks(spark, sf), question_texts(spark, sf))
     t = G.candidate_trace(hybrid=pool, rescored=VX.rescore_pairs(pool))
     return t.withColumn("score", F.round("score", 6))
-
-
-@query("retrieve")
-def _(spark, sf):
-    return retrieve(question_texts(spark, sf), pchunks(spark, sf)).select(
-        "query_id", "chunk_key", "route", F.col("pos").cast("bigint"), F.round("score", 6).alias("score"))

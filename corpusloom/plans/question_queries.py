@@ -178,7 +178,7 @@ def _facets_sql(x: str) -> str:
     return chain + " ELSE [] END"
 
 
-def _retrieval_intent_sql() -> str:
+def _retrieval_intent_sql(src: str = _Q) -> str:
     pad = "(' '||n||' ')"
     head = "array_to_string(string_split(n, ' ')[1:8], ' ')"
     raw = D.rsub(D.squash("question"), r"^[ .?!]+|[ .?!]+$")
@@ -188,7 +188,7 @@ def _retrieval_intent_sql() -> str:
  {D.any_phrase(pad, V.REFERENCE_REQUEST_TERMS)} AS reference_request,
  {D.rx('lower(' + raw + ')', '|'.join(V.TEMPORAL_COMPARISON_PATTERNS))} AS temporal_comparison,
  len({_facets_sql('question')}) >= 2 AS compound_query
- FROM (SELECT *, {D.norm('question')} AS n FROM {_Q})"""
+ FROM (SELECT *, {D.norm('question')} AS n FROM {src})"""
 
 
 @query("retrieval_intents", _retrieval_intent_sql())
