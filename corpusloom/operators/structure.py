@@ -7,6 +7,7 @@ document does not become one task.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,15 +186,56 @@ def inherit_parent(secs: DataFrame) -> DataFrame:
         "parent_type", "parent_identifier", "parent_title", "page_start", "page_end")
 
 
+def sentence_bounds(words: list[str], size: int) -> list[int]:
+    """Word positions at which a window may begin or end: sentence ends, and every ``size`` words of a longer sentence."""
+    out, last = [0], 0
+    for i, w in enumerate(words, 1):
+        if i - last == size or i == len(words) or w.endswith((".", "!", "?")):
+            out.append(i)
+            last = i
+    return out
+
+
+def sentence_windows(words: list[str], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Word ranges of windows over whole sentences, in time linear in the text.
+
+    A window takes sentences while they fit into ``size`` words.  The next one begins with the last sentences of it that have
+    at most ``overlap`` words and leave room for the sentence that did not fit.
+    """
+    b = sentence_bounds(words, size)
+    out, start, end, begin = [], 0, 0, 0
+    while True:
+        while end + 1 < len(b) and b[end + 1] - b[start] <= size:
+            end += 1
+        out.append((b[start], b[end]))
+        if end + 1 >= len(b):
+            return out
+        begin = max(b[end] - overlap, b[end + 1] - size)
+        while b[start] < begin:
+            start += 1
+
+
 def window_chunks(df: DataFrame, text: str = "text", size: int = V.CHUNK_SIZE, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
-    """Overlapping word windows: adds ``part`` (0-based), ``parts`` and ``chunk_text``."""
-    step = size - overlap
-    d = df.withColumn("__w", F.split(T.squash(F.col(text)), " "))
-    n = F.size("__w")
-    parts = F.when(n <= size, 1).otherwise(F.ceil((n - overlap) / step)).cast("int")
-    d = d.withColumn("parts", parts.cast("bigint")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    chunk = F.array_join(F.slice("__w", F.col("part") * step + 1, F.lit(size)), " ")
-    return d.withColumn("chunk_text", chunk).withColumn("part", F.col("part").cast("bigint")).drop("__w")
+    """Overlapping windows of whole sentences: adds ``part`` (0-based), ``parts`` and ``chunk_text``.
+
+    Words are what single spaces part after squashing white space; a sentence ends at a word that ends in ``.``, ``!`` or ``?``,
+    and one of more than ``size`` words is cut.  An empty text is one empty window, a null text none.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None):
+            if t is None:
+                return None
+            words = t.split(" ")
+            return [" ".join(words[a:b]) for a, b in sentence_windows(words, size, overlap)]
+
+        return texts.map(one, na_action="ignore")
+
+    d = df.withColumn("__c", cut(T.squash(F.col(text))))
+    d = d.withColumn("parts", F.size("__c").cast("bigint"))
+    d = d.select(*[c for c in d.columns if c != "__c"], F.posexplode("__c").alias("part", "chunk_text"))
+    return d.withColumn("part", F.col("part").cast("bigint"))
 
 
 def number_chunks(df: DataFrame, file_key: str, doc_no: str, part: str) -> DataFrame:

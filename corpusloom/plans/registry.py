@@ -33,6 +33,7 @@ def load_all() -> None:
         evaluation_queries,
         fusion_queries,
         grounding_queries,
+        index_queries,
         knowledge_queries,
         lexical_queries,
         question_queries,

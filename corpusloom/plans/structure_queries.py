@@ -146,10 +146,16 @@ def _(spark, sf):
     return S.inherit_parent(S.sections(layout_lines(spark, sf))).select("doc_key", "start", "text")
 
 
-_WIN = """SELECT doc_id, source, w, parts, unnest(range(parts)) AS part FROM (SELECT *, CASE WHEN len(w) <= 900 THEN 1 ELSE ceil((len(w) - 150) / 750)::BIGINT END AS parts FROM (
- SELECT doc_id, source, string_split({t}, ' ') AS w FROM {src}))"""
+_WIN = """SELECT doc_id, source, part, count(*) OVER (PARTITION BY doc_id) AS parts, array_to_string(w[b[s + 1] + 1 : b[e + 1]], ' ') AS chunk_text FROM (
+ WITH RECURSIVE sen AS (SELECT doc_id, source, string_split(t_, ' ') AS w, flatten(list_transform(list_transform(string_split(regexp_replace(t_, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(string_split(x, ' '))),
+   lambda m: list_transform(range(((m + 899) // 900)::BIGINT), lambda k: least(900, m - 900 * k)))) AS m FROM (SELECT doc_id, source, {t} AS t_ FROM {src}) WHERE t_ IS NOT NULL),
+ cum AS (SELECT doc_id, source, w, list_prepend(0, list_transform(range(1, len(m) + 1), lambda i: list_sum(m[1:i])::BIGINT)) AS b FROM sen),
+ walk AS (SELECT *, 0::BIGINT AS part, 0::BIGINT AS s, len(list_filter(b, lambda x: x <= 900)) - 1 AS e FROM cum
+  UNION ALL SELECT doc_id, source, w, b, part, s, len(list_filter(b, lambda x: x - b[s + 1] <= 900)) - 1 AS e FROM (
+   SELECT doc_id, source, w, b, part + 1 AS part, len(list_filter(b, lambda x: x < greatest(b[e + 1] - 150, b[e + 2] - 900))) AS s FROM walk WHERE e + 1 < len(b)))
+ SELECT * FROM walk)"""
 _WIN1 = _WIN.format(t=D.squash("text"), src="documents")
-_CHUNKT = "array_to_string(w[part * 750 + 1 : part * 750 + 900], ' ')"
+_CHUNKT = "chunk_text"
 
 
 @query("window_chunks", f"SELECT doc_id, part, parts, {_CHUNKT} AS chunk_text FROM ({_WIN1})")

@@ -22,12 +22,24 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """Version the pointer names; readers never look at unfinished versions."""
-    fs, p = _fs(spark, f"{root}/CURRENT")
+class PublicationConflict(RuntimeError):
+    """Another writer published after this one had read; nothing of the refused version is visible."""
+
+
+def _head(spark: SparkSession, root: str) -> tuple[int, int | None]:
+    """The last commit's number (0: none) and the version it made current."""
+    fs, p = _fs(spark, f"{root}/_log")
     if not fs.exists(p):
-        return None
-    return int(spark.read.text(f"{root}/CURRENT").first()[0])
+        return 0, None
+    done = sorted((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), reverse=True)
+    if not done:
+        return 0, None
+    return done[0], int(spark.read.text(f"{root}/_log/{done[0]}").first()[0])
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """The version that the last commit names; readers never look at unfinished versions."""
+    return _head(spark, root)[1]
 
 
 def _claim_version(spark: SparkSession, root: str) -> int:
@@ -45,13 +57,19 @@ def _claim_version(spark: SparkSession, root: str) -> int:
         version += 1
 
 
-def publish_version(tables: dict[str, tuple[DataFrame, str]], root: str, buckets: int = BUCKETS) -> int:
-    """Writes every table of a new version, compares the rows found with the rows written, then moves the pointer.
+def publish_version(tables: dict[str, tuple[DataFrame, str]], root: str, buckets: int = BUCKETS, read: int | None = -1) -> int:
+    """Writes every table of a new version, compares the rows found with the rows written, then commits it.
+
+    ``read`` is the version that the tables were made from (None: there was none); without it, the one that is current when
+    the call begins.  If another version has been committed since, the commit is refused with ``PublicationConflict``.
 
     Rows are placed by a hash bucket of their key.  The rebalance hint lets the engine size the writing
     tasks by the data, so a bucket of any size is written by as many tasks as it needs.
     """
     spark = next(iter(tables.values()))[0].sparkSession
+    commit, base = _head(spark, root)
+    if read != -1 and read != base:
+        raise PublicationConflict(f"version {base} was published after version {read} had been read")
     version = _claim_version(spark, root)
     for name, (df, key) in tables.items():
         path, seen = f"{root}/v={version}/{name}", Observation()
@@ -63,23 +81,32 @@ def publish_version(tables: dict[str, tuple[DataFrame, str]], root: str, buckets
         found = spark.read.parquet(path).count()
         if found != written:
             raise ValueError(f"{name}: {written} rows were written, {found} are there")
-    _move_pointer(spark, root, version)
+    _commit(spark, root, commit + 1, version)
     return version
 
 
-def _move_pointer(spark: SparkSession, root: str, version: int) -> None:
-    """Readers see the old version or the new one, never half a pointer: written aside, then renamed over."""
-    fs, aside = _fs(spark, f"{root}/.CURRENT-{version}")
+def _commit(spark: SparkSession, root: str, number: int, version: int) -> None:
+    """Makes ``version`` current by naming it in the log's next entry, which only one writer can add.
+
+    The entry is written aside and renamed without overwriting, so it is there whole or not at all, and a writer that
+    dies before the rename leaves nothing in the way.
+    """
+    fs, aside = _fs(spark, f"{root}/v={version}/_COMMIT-{number}")
     out = fs.create(aside, True)
     out.write(bytearray(f"{version}\n".encode()))
     out.close()
+    fs, entry = _fs(spark, f"{root}/_log/{number}")
+    fs.mkdirs(entry.getParent())
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    fs, target = _fs(spark, f"{root}/CURRENT")
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    how = gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(target), how)
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+    names = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(entry).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        names.rename(fs.makeQualified(aside), fs.makeQualified(entry), how)
+    except Exception as e:
+        if fs.exists(entry):
+            raise PublicationConflict(f"commit {number} belongs to another writer") from e
+        raise
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:

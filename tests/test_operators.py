@@ -14,6 +14,7 @@ from corpusloom.operators import lexical as L
 from corpusloom.operators import refs as H
 from corpusloom.operators import structure as S
 from corpusloom.operators import vectors as VX
+from corpusloom.sources import sinks as K
 
 DOCS = [(i, t) for i, t in enumerate(["red fox jumps", "red red dog", "blue fox and dog", "the quick red fox", "green tea", "dog dog dog red"])]
 
@@ -131,7 +132,6 @@ def test_ann_finds_every_neighbour_of_unclustered_vectors(spark):
 
 
 def test_publish_checks_counts_and_moves_pointer(spark, tmp_path):
-    from corpusloom.sources import sinks as K
 
     root = str(tmp_path / "t")
     one = spark.range(100).withColumnRenamed("id", "k")
@@ -157,3 +157,65 @@ def test_salted_branches_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(L, "fits", lambda *a, **k: False)
     monkeypatch.setattr(G, "fits", lambda *a, **k: False)
     assert results() == small and all(small)
+
+
+def test_sentence_windows():
+    """Every window fits, begins and ends at a bound, overlaps by whole sentences, and nothing is left out."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        words = [("x." if rng.random() < 0.2 else "y") for _ in range(int(rng.integers(1, 120)))]
+        size, overlap = int(rng.integers(3, 25)), int(rng.integers(0, 10))
+        bounds, got = set(S.sentence_bounds(words, size)), S.sentence_windows(words, size, overlap)
+        assert got[0][0] == 0 and got[-1][1] == len(words) and all(0 < b - a <= size and {a, b} <= bounds for a, b in got)
+        for (a, b), (c, d) in zip(got, got[1:]):
+            after = min(x for x in bounds if x > b)
+            assert a < c <= b < d and b - c <= overlap
+            assert after - a > size  # the window was full
+            longer = [x for x in bounds if a <= x < c and b - x <= overlap and after - x <= size]
+            assert not longer  # and the overlap could not be longer
+    assert S.sentence_windows([""], 9, 2) == [(0, 1)]
+
+
+def test_window_chunks_of_nulls_and_long_sentences(spark):
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "one two.  three! four five six seven eight nine ten")], "k long, text string")
+    got = sorted((r.k, r.part, r.parts, r.chunk_text) for r in S.window_chunks(d, size=4, overlap=1).collect())
+    assert got == [(2, 0, 1, ""), (3, 0, 3, "one two. three!"), (3, 1, 3, "four five six seven"), (3, 2, 3, "eight nine ten")]
+
+
+def test_publication_refuses_the_second_writer(spark, tmp_path):
+    root = f"{tmp_path}/kb"
+    table = lambda tag: {"a": (spark.range(30).select(F.col("id").alias("k"), F.lit(tag).alias("tag")), "k")}
+    assert K.publish_version(table("base"), root) == 1
+    read = K.current_version(spark, root)
+    mine, theirs = table("mine"), table("theirs")
+    seen = K.publish_version(theirs, root, read=read)
+    with pytest.raises(K.PublicationConflict):
+        K.publish_version(mine, root, read=read)
+    rows = K.read_published(spark, root, "a")
+    assert K.current_version(spark, root) == seen and {r.tag for r in rows.collect()} == {"theirs"} and rows.count() == 30
+    # a writer that reads again may publish; one that commits between is refused at the log
+    assert K.publish_version(mine, root, read=seen) > seen
+    commit = K._head(spark, root)[0]
+    with pytest.raises(K.PublicationConflict):
+        K._commit(spark, root, commit, 99)
+
+
+def test_concurrent_writers_one_wins(spark, tmp_path):
+    import threading
+
+    root, done = f"{tmp_path}/kb", []
+    K.publish_version({"a": (spark.range(5).withColumn("w", F.lit(-1)), "id")}, root)
+    read = K.current_version(spark, root)
+
+    def write(i):
+        try:
+            done.append((i, K.publish_version({"a": (spark.range(20).withColumn("w", F.lit(i)), "id")}, root, read=read)))
+        except K.PublicationConflict:
+            done.append((i, None))
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    winners = [(i, v) for i, v in done if v is not None]
+    assert len(winners) == 1 and K.current_version(spark, root) == winners[0][1]
+    assert {r.w for r in K.read_published(spark, root, "a").collect()} == {winners[0][0]}
