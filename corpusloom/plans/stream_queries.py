@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpusloom.plans import conversation_queries as CQ
 from corpusloom.plans import duck as D
 from corpusloom.plans import fixtures as X
 from corpusloom.plans import structure_queries as SQ
@@ -53,6 +54,28 @@ def _(spark, sf):
     return a.select("user_id", _TS("session_start"), _TS("session_last"), "n_events")
 
 
+@query(
+    "session_activity_live",
+    """SELECT user_id, min(ts) AS session_start, max(ts) AS session_last, count(*) AS n_events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+ SELECT *, (lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE)::INT AS new FROM events))
+ GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events)""",
+)
+def _(spark, sf):
+    """Sessions from a watermarked stream; those that the watermark has not closed are still state."""
+    d = _run_dir(spark)
+    S.run_available(S.stream_sessions(_events_stream(spark, sf)), f"{d}/out", f"{d}/ckpt")
+    return spark.read.parquet(f"{d}/out").select("user_id", _TS("session_start"), _TS("session_last"), "n_events")
+
+
+@query("stream_topics", CQ.TOPIC_FILL_SQL)
+def _(spark, sf):
+    """Turns of all conversations as a stream, with the topic carried as state."""
+    d = _run_dir(spark)
+    t = S.read_table_stream(spark, f"{sf}/conversation[s].parquet", X.table(spark, sf, "conversations").schema)
+    S.run_available(S.stream_topics(t.withColumnRenamed("text", "question")), f"{d}/out", f"{d}/ckpt")
+    return spark.read.parquet(f"{d}/out").select(*CQ.TOPIC_FILL_COLUMNS)
+
+
 @query("stream_dedupe", "SELECT event_id, user_id, event_type FROM events")
 def _(spark, sf):
     """Every event sent twice; each id is kept once."""

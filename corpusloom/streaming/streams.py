@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.operators.conversation import extract_topic
 from corpusloom.operators.structure import ingest_corpus
 
 
@@ -38,6 +43,34 @@ def session_activity(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return g.select("user_id", F.col("first").alias("session_start"), F.col("last").alias("session_last"), "n_events")
 
 
+def stream_sessions(events: DataFrame, delay: str = "2 hours", gap: str = "30 minutes") -> DataFrame:
+    """``session_activity`` over a stream: a session is emitted once, when the watermark has passed its gap."""
+    return session_activity(events.withWatermark("ts", delay), gap)
+
+
+def stream_topics(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, own_topic, current_topic`` of a stream of turns, as ``conversation.topic_fill`` gives them.
+
+    The latest topic of every conversation is state, so a turn finds topics of earlier micro-batches and of runs before a
+    restart.  Turns of a conversation must arrive in order over micro-batches; inside one they are put in order.
+    """
+    kind = dict(turns.dtypes)["conv_id"]
+
+    def fill(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        topic = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("turn")
+        current = []
+        for own in rows["own_topic"]:
+            current.append(topic)
+            topic = own if isinstance(own, str) else topic
+        state.update((topic,))
+        yield rows.assign(current_topic=current)[["conv_id", "turn", "own_topic", "current_topic"]]
+
+    own = extract_topic(turns).select("conv_id", "turn", "own_topic")
+    out = f"conv_id {kind}, turn long, own_topic string, current_topic string"
+    return own.withColumn("turn", F.col("turn").cast("long")).groupBy("conv_id").applyInPandasWithState(fill, out, "topic string", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Processes everything that is available and stops; exactly-once through the file sink's log."""
     q: StreamingQuery = df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
