@@ -26,8 +26,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go except for one occurrence each; a document that loses all its lines goes."""
-    left = line_dedup.line_spread_dedup(docs)
-    left = left.where("line_dedup.n_left is null or line_dedup.n_left > 0")
+    free = next(n for i in range(len(docs.columns) + 1) if (n := f"line_dedup_{i}") not in docs.columns)
+    left = line_dedup.line_spread_dedup(docs, counts=free)
+    left = left.where(f"{free}.n_left is null or {free}.n_left > 0")
     return _sized(docs, left)
 
 
