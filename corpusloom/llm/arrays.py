@@ -6,7 +6,9 @@ Nothing here makes a Python object per word.  Offsets keep documents apart, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,24 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _power = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+#: What a module keeps between the tasks of a worker, as functions that drop it.
+KEPT: list[Callable[[], None]] = []
+
+
+def release(dropping: bool = True) -> None:
+    """Returns what a task no longer holds to the system: kept tables, Arrow's pool, the heap's free pages."""
+    if dropping:
+        _power.update(n=0, up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+        for drop in KEPT:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def byte_class(spec: str) -> np.ndarray:
     """Membership of the 256 byte values: ``space`` words or ``alnum`` words (all bytes over 7F belong)."""
     m = np.ones(256, bool)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
-from corpusloom.llm.tables import ROW, boxed, keyed, need, stable
+from corpusloom.llm.tables import ROW, boxed, keyed, need, released, stable
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -218,7 +218,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     for k in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).sort("item_id", "text")
         phrases = Phrases([(r[0], r[1]) for r in mine.toLocalIterator()], window)
-        hits = rows.select(ROW, "doc_id", "text").mapInArrow(_search(phrases), _HITS)
+        hits = rows.select(ROW, "doc_id", "text").mapInArrow(released(_search(phrases)), _HITS)
         found = hits if found is None else found.unionByName(hits)
     return found if blocks == 1 else _union(found)
 

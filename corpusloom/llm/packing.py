@@ -107,6 +107,9 @@ class Tokenizer:
         return out
 
 
+A.KEPT.append(Tokenizer.held.clear)
+
+
 def _plain(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes, and places where something stands that only the library handles."""
     after_c3 = np.zeros(len(data), bool)

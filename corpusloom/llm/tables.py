@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrays import release
 from corpusloom.session import ensure_checkpoint_dir
 
 ROW = "__row"
@@ -64,11 +65,37 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(run):
+    """``run`` for mapInArrow, which gives its memory back when a task begins and ends: Python workers live on."""
+
+    def whole(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, under these names; other columns cannot clash with helper columns."""
     return bounded_batches(df).select(*columns)
 
 
+#: Rows of a small table that one task works on.
+ROWS_IN_TASK = 200_000
+
+
+def fitted(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A checkpointed table in as many partitions as its rows need, never more than it has.
+
+    A round over a few thousand edges then costs a few tasks and files, however many partitions the session has.
+    """
+    rows = df.count() if rows is None else rows
+    return df.coalesce(rows // ROWS_IN_TASK + 1)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (node, component = smallest node).
 
@@ -82,16 +109,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     digest = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
     before = e.agg(*digest).first()
     while before[0]:
+        few = before[0] // ROWS_IN_TASK + 1
+        e = e.coalesce(few)
         # large star: every larger neighbour of a node points to the node's smallest neighbour
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u < v").distinct()
+        large = both.where("y > x").join(low, "x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u < v").coalesce(few).distinct()
         # small star: a node and its smaller neighbours point to the smallest of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("w"))
         linked = small.where("m < w").select(F.col("m").alias("u"), F.col("w").alias("v"))
-        linked = linked.union(low.select(F.col("m").alias("u"), "v")).distinct()
-        new = saved(linked)
+        linked = linked.union(low.select(F.col("m").alias("u"), "v")).coalesce(few).distinct()
+        new = saved(linked.coalesce(few))
         after = new.agg(*digest).first()
         e, same, before = new, after == before, after
         if same:

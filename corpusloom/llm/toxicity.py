@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
-from corpusloom.llm.tables import bounded_batches, need
+from corpusloom.llm.tables import bounded_batches, need, released
 
 MOST_TOXIC = 700
 MOST_CLEAN = 1400
@@ -330,7 +330,7 @@ def score_documents(docs: DataFrame, net: Network, key: str = "doc_id") -> DataF
     texts are all covered by windows; other columns are ignored; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[key]
-    return bounded_batches(docs).select(F.col(key).alias("key"), "text").mapInArrow(_score(net), f"key {kind}, score double").withColumnRenamed("key", key)
+    return bounded_batches(docs).select(F.col(key).alias("key"), "text").mapInArrow(released(_score(net)), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def keep_civil(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:
@@ -343,4 +343,4 @@ def keep_civil(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFra
             got = [net.scores(part, cut) for _, _, part, cut in A.pieces(data, off, PIECE)]
             yield batch.filter(pa.array(np.concatenate(got) < threshold if got else np.zeros(0, bool)))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(released(run), docs.schema)
