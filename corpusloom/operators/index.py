@@ -16,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as T
 from corpusloom.functions import vocab as V
 from corpusloom.operators import lexical as L
-from corpusloom.operators.scale import computed_once, fits, materialized, top_k_per, union_rows
+from corpusloom.operators.scale import fits, materialized, top_k_per, union_rows
 
 BLOCK = 128
 #: Blocks per question whose chunks are scored first, to know what the k-th best is at least.
@@ -35,18 +34,6 @@ class Layer(NamedTuple):
     tombstones: DataFrame
 
 
-def forward_rows(chunks: DataFrame) -> DataFrame:
-    """``chunk_key, dl, counts``: the terms of each chunk with their counts, made inside the scan; null texts are no chunks."""
-    t = chunks.where("text is not null").select("chunk_key", computed_once(F.array_sort(T.tokenize("text"))).alias("t"))
-    t = t.select("chunk_key", "t", F.size("t").cast("bigint").alias("dl"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("dl").cast("int") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    starts = F.when(F.col("dl") > 0, starts).otherwise(F.array().cast("array<int>"))
-    t = t.select("chunk_key", "t", "dl", computed_once(starts).alias("s"))
-    ends = F.concat(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), F.array(F.col("dl").cast("int")))
-    terms, sizes = F.transform("s", lambda i: F.get("t", i)), F.zip_with(F.slice(ends, 1, F.size("s")), "s", lambda e, b: e - b)
-    return t.select("chunk_key", "dl", F.map_from_arrays(terms, sizes).alias("counts"))
-
-
 def _signed(forward: DataFrame, sign: int) -> DataFrame:
     """Document and token counts that these rows add or take; the row with the empty term counts chunks and tokens."""
     terms = F.array_append(F.map_keys("counts"), F.lit(L._CORPUS))
@@ -99,7 +86,7 @@ def vocabulary(layers: Sequence[Layer]) -> DataFrame:
 
 def first_layer(chunks: DataFrame, keep=materialized) -> Layer:
     """Indexes ``chunks(chunk_key, text)``; every text is read once.  ``keep(df)`` stores a table and reads it back."""
-    forward = keep(forward_rows(chunks))
+    forward = keep(L.term_counts(chunks))
     return Layer(forward, keep(posting_blocks(forward)), keep(_signed(forward, 1)), keep(forward.select("chunk_key").limit(0)))
 
 
@@ -109,7 +96,7 @@ def next_layer(layers: Sequence[Layer], fresh: DataFrame, removed: DataFrame | N
     Keys may come on several rows of ``removed``, and of keys on both sides the fresh text stays; fresh keys must be unique.
     What the old rows counted is taken off again from their forward rows, so no old text is needed.
     """
-    forward = keep(forward_rows(fresh))
+    forward = keep(L.term_counts(fresh))
     gone = fresh.select("chunk_key") if removed is None else union_rows([fresh.select("chunk_key"), removed.select("chunk_key")])
     gone = keep(gone.distinct())
     few = F.broadcast(gone) if fits(gone) else gone

@@ -30,6 +30,18 @@ def _token_rows(chunks: DataFrame) -> DataFrame:
     return t.select("chunk_key", "dl", F.explode("t").alias("term"))
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """``chunk_key, dl, counts``: the terms of each chunk with their counts, made inside the scan; null texts are no chunks."""
+    t = chunks.where("text is not null").select("chunk_key", computed_once(F.sort_array(T.tokenize("text"))).alias("t"))
+    t = t.select("chunk_key", "t", F.size("t").cast("bigint").alias("dl"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("dl").cast("int") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    starts = F.when(F.col("dl") > 0, starts).otherwise(F.array().cast("array<int>"))
+    t = t.select("chunk_key", "t", "dl", computed_once(starts).alias("s"))
+    ends = F.concat(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), F.array(F.col("dl").cast("int")))
+    terms, sizes = F.transform("s", lambda i: F.get("t", i)), F.zip_with(F.slice(ends, 1, F.size("s")), "s", lambda e, b: e - b)
+    return t.select("chunk_key", "dl", F.map_from_arrays(terms, sizes).alias("counts"))
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
     """``term, chunk_key, tf, dl``; map-side combine collapses each chunk's tokens before the shuffle."""
     rows = _token_rows(chunks)
