@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
-from corpusloom.llm.tables import ROW, boxed, components, keyed, need, saved, stable
+from corpusloom.llm.tables import ROW, boxed, components, fitted, keyed, need, released, saved, stable
 
 SHINGLE = 5
 THRESHOLD = (80, 100)
@@ -182,6 +182,12 @@ def _confirm(size: int, least: int, of: int):
     return run
 
 
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sig = A.text_bytes(batch.column(1))[0].view(np.uint32).reshape(-1, SLOTS).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["c", "sig"])
+
+
 def _in_blocks(df: DataFrame, key: str, member: str) -> DataFrame:
     """Rows in groups ``k`` of a bounded size, in which each asking row of a ``key`` meets all rows of it.
 
@@ -226,11 +232,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _alike_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest over the families of a bucket that have classes with alike signatures."""
+    """A forest over the families of a bucket that have classes with alike signatures.
+
+    The slots come as their lowest bytes: equal slots stay equal, so no alike pair is lost, and what is joined in
+    excess is told apart later on full sets.
+    """
     for rows in _groups(batches):
         p, at = np.unique(rows.column("p").to_numpy(), return_inverse=True)
         role = rows.column("role").to_numpy(zero_copy_only=False)
-        sig = A.text_bytes(rows.column("sig"))[0].view(np.uint32).reshape(-1, SLOTS)
+        sig = A.text_bytes(rows.column("sig"))[0].reshape(-1, SLOTS)
         at = at.reshape(-1)
         label, members, home = np.arange(len(p)), sig[~role], at[~role]
         for i in np.flatnonzero(role).tolist():
@@ -288,7 +298,7 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         return rows.select(ROW, "text").join(wanted, ROW, "left_semi")
     if not len(some):
         return rows.select(ROW, "text").limit(0)
-    return rows.select(ROW, "text").mapInArrow(_only(np.sort(some)), "__row long, text string")
+    return rows.select(ROW, "text").mapInArrow(released(_only(np.sort(some))), "__row long, text string")
 
 
 def _labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
@@ -301,11 +311,11 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     sig = classes.select("c", "sig")
     both = pairs.join(sig.select(F.col("c").alias("a"), F.col("sig").alias("x")), "a")
     both = both.join(sig.select(F.col("c").alias("b"), F.col("sig").alias("y")), "b")
-    near = saved(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
+    near = fitted(saved(both.select("a", "b", "x", "y").mapInArrow(released(_alike), "a long, b long")))
     text = _texts_of(rows, near.select(F.col("a").alias(ROW)).union(near.select(F.col("b").alias(ROW))))
     both = near.join(text.select(F.col(ROW).alias("b"), F.col("text").alias("y")), "b")
     both = both.join(text.select(F.col(ROW).alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    return near, saved(both.mapInArrow(_confirm(size, *threshold), "a long, b long"))
+    return near, fitted(saved(both.mapInArrow(released(_confirm(size, *threshold)), "a long, b long")))
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -318,10 +328,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, i
     links), leader (true for one row of each group, the one with the smallest doc_id).
     """
     rows = keyed(need(docs, "doc_id", "text"))
-    signed = saved(rows.select(ROW, "doc_id", "text").mapInArrow(_sign(shingle), _SIGNED))
+    signed = saved(rows.select(ROW, "doc_id", "text").mapInArrow(released(_sign(shingle)), _SIGNED))
     full = signed.where("n > 0")
     classes = saved(full.groupBy("h1", "h2").agg(F.min(ROW).alias("c"), F.first("sig").alias("sig"), F.min("doc_id").alias("low")))
-    bands = classes.select("c", "sig").mapInArrow(_bands, "band long, c long")
+    bands = classes.select("c", "sig").mapInArrow(released(_bands), "band long, c long")
     shared = bands.groupBy("band").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
     bands = saved(bands.join(shared, "band"))
     pairs = bands.where("c > a").select("a", F.col("c").alias("b")).distinct()
@@ -331,17 +341,18 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, i
     families = _labelled(classes.select("c"), components(alike))
     placed = _asking(bands.select("band", "c").join(families, "c"), "band", "p")
     open_ = placed.where("asks").select("band").distinct()
-    placed = placed.join(open_, "band").join(classes.select("c", "sig"), "c")
-    joined = saved(_in_blocks(placed, "band", "c").select("k", "p", "sig", "role").mapInArrow(_alike_parts, "a long, b long"))
+    short = fitted(saved(classes.select("c", "sig").mapInArrow(released(_low_bytes), "c long, sig binary")))
+    placed = placed.join(open_, "band").join(short, "c")
+    joined = fitted(saved(_in_blocks(placed, "band", "c").select("k", "p", "sig", "role").mapInArrow(released(_alike_parts), "a long, b long")))
     if not joined.isEmpty():
         families = _labelled(classes.select("c"), components(alike.union(joined)))
     # The classes of a family are compared across its components on their full sets.
     home = _labelled(classes.select("c"), parts).join(families.withColumnRenamed("p", "f"), "c")
     home = _asking(home, "f", "p")
-    home = saved(home.join(home.where("asks").select("f").distinct(), "f"))
+    home = fitted(saved(home.join(home.where("asks").select("f").distinct(), "f")))
     text = _texts_of(rows, home.select(F.col("c").alias(ROW)))
     met = _in_blocks(home.join(text.withColumnRenamed(ROW, "c"), "c"), "f", "c").select("k", "p", "c", "role", "text")
-    found = saved(met.mapInArrow(_linked(shingle, *threshold), "a long, b long"))
+    found = fitted(saved(met.mapInArrow(released(_linked(shingle, *threshold)), "a long, b long")))
     if not found.isEmpty():
         parts = components(edges.union(found))
     group = classes.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("h1", "h2", "low", F.coalesce("component", "c").alias("p"))
