@@ -31,9 +31,8 @@ def _lines(rows: DataFrame) -> DataFrame:
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     """(h1, h2, first) of lines on ``min_sites`` sites or more; a null site counts as one site."""
     at = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", ROW, "pos")
-    by_site = lines.groupBy("h1", "h2", "site").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
-    spread = by_site.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("sites"), F.sum("n").alias("n"), F.min("first").alias("first")
+    spread = lines.groupBy("h1", "h2").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("sites"), F.count(F.lit(1)).alias("n"), F.min(at).alias("first")
     )
     slack = F.lit(1 + DOUBT * min_sites)
     likely = saved(spread.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites - slack)))
@@ -57,12 +56,12 @@ def _cut(text, gone):
     return "\n".join(kept), len(lines), len(gone), sum(1 for x in kept if x.strip())
 
 
-def line_spread_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+def line_spread_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", counts: str = "line_dedup") -> DataFrame:
     """``docs`` with repeated boilerplate lines removed from ``text``; all rows and columns stay.
 
     A line is what stands between line feeds, compared without white space around it; blank lines are
     never removed.  Null texts stay null, empty ones empty; a null site is a site of its own; equal rows
-    are separate occurrences; an empty table gives no rows.  Adds ``line_dedup``, a struct (a column of that
+    are separate occurrences; an empty table gives no rows.  Adds ``counts``, a struct (a column of that
     name is replaced): n_lines (lines of the input text, 0 for null), n_removed and n_left (lines with
     words left; null where nothing was removed).
     """
@@ -80,8 +79,8 @@ def line_spread_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "
     text = F.when(F.col("__gone").isNotNull(), F.col("__doc.text"))
     both = both.withColumn("__cut", cut(text, "__gone"))
     n_lines = F.when(F.col("__doc.text").isNull(), 0).otherwise(F.size(F.split("__doc.text", "\n", -1))).cast("long")
-    counts = F.struct(
+    numbers = F.struct(
         F.coalesce("__cut.n_lines", n_lines).alias("n_lines"), F.coalesce("__cut.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.col("__cut.n_left").alias("n_left")
     )
-    doc = F.col("__doc").withField("text", F.coalesce("__cut.text", "__doc.text")).withField("line_dedup", counts)
+    doc = F.col("__doc").withField("text", F.coalesce("__cut.text", "__doc.text")).withField(f"`{counts}`", numbers)
     return both.select(doc.alias("__doc")).select("__doc.*")
