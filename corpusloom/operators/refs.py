@@ -94,13 +94,14 @@ def compress_ids(ids: DataFrame) -> DataFrame:
     return g.select("major", F.concat(prefix, F.array_join(F.transform("ls", lambda x: x["l"]), ", ")).alias("label"))
 
 
+ID_DIGITS = 20
 #: Stems of a question that do not count towards a rescue.
 RESCUE_NOISE = [w for w in CATALOG_NOISE if w not in ("list", "all", "show", "give", "name", "that", "and", "with")]
 
 
 def rule_sort_key(ident: Column) -> Column:
-    """Dotted ids in numeric order: every part left-padded."""
-    return F.array_join(F.transform(F.split(ident, r"\."), lambda p: F.lpad(p, 6, "0")), ".")
+    """Dotted ids in numeric order: every part left-padded to ``ID_DIGITS``, longer than any 64-bit number."""
+    return F.array_join(F.transform(F.split(ident, r"\."), lambda p: F.lpad(p, ID_DIGITS, "0")), ".")
 
 
 def catalog_stems(col: Column) -> Column:

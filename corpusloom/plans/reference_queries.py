@@ -78,7 +78,7 @@ def seeds(spark, sf):
     return H.exact_reference(refs_of(spark, sf), standards(spark, sf))
 
 
-@query("rule_sort_key", _W + " SELECT chunk_key, lpad(split_part(rule_id, '.', 1), 6, '0') || '.' || lpad(split_part(rule_id, '.', 2), 6, '0') AS sort_key FROM std WHERE section_role = 'requirement'")
+@query("rule_sort_key", _W + " SELECT chunk_key, lpad(split_part(rule_id, '.', 1), 20, '0') || '.' || lpad(split_part(rule_id, '.', 2), 20, '0') AS sort_key FROM std WHERE section_role = 'requirement'")
 def _(spark, sf):
     return standards(spark, sf).where(H.BODY).select("chunk_key", H.rule_sort_key(F.col("rule_id")).alias("sort_key"))
 
