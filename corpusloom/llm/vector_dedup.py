@@ -90,7 +90,8 @@ def _turned(axes: np.ndarray, width: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = A.text_bytes(batch.column(2))[0].view(np.float64).reshape(-1, dim) @ axes
-            cells = np.floor(x[:, :GRID_DIMS] / width).astype(np.int32)
+            cells = np.zeros((len(x), GRID_DIMS), np.int32)  # short vectors have fewer axes
+            cells[:, :dim] = np.floor(x[:, :GRID_DIMS] / width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(cells[:, i]) for i in range(GRID_DIMS)], pa.array([v.tobytes() for v in x], pa.binary())],
                 names=["c", "n", *[f"g{i}" for i in range(GRID_DIMS)], "x"],
@@ -223,15 +224,25 @@ def _joined(dim: int, cosine: float):
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Links and groups of ``vectors(vec_id, embedding)`` with a cosine of at least ``cosine``.
 
-    Vectors that are null, zero, hold a null or non-finite component, or have another length than most
-    are linked with nothing; equal rows are linked; a null vec_id is never the smallest; an empty table
-    gives no rows; other columns are ignored.  Every row is compared, nothing is approximate.
+    Vectors that are null, empty, zero or hold a null or non-finite component are linked with nothing; only vectors
+    of one length are compared with each other, each length by itself; equal rows are linked; a null vec_id is
+    never the smallest; an empty table gives no rows; other columns are ignored.  Every row is compared, nothing is approximate.
     Returns vec_id, n_links, component_id (smallest vec_id reachable, itself included).
     """
     rows = keyed(need(vectors, "vec_id", "embedding"))
-    sizes = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count()
-    top = sizes.orderBy(F.desc("count"), "d").first()
-    dim = top[0] if top else 1
+    size = F.coalesce(F.size("embedding"), F.lit(0))
+    lengths = [r[0] for r in rows.select(size.alias("d")).where("d > 0").distinct().orderBy("d").collect()]
+    out = _alone(rows.where(size <= 0))
+    for dim in lengths:
+        out = out.unionByName(_of_one_length(rows.where(size == dim), dim, cosine))
+    return out
+
+
+def _alone(table: DataFrame) -> DataFrame:
+    return table.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+
+
+def _of_one_length(rows: DataFrame, dim: int, cosine: float) -> DataFrame:
     table = saved(rows.select(ROW, "vec_id", "embedding").mapInArrow(_described(dim), "__row long, vec_id long, ok boolean, h1 long, h2 long, x binary"))
     classes = saved(table.where("ok").groupBy("h1", "h2").agg(F.min(ROW).alias("c"), F.count(F.lit(1)).alias("n"), F.first("x").alias("x")))
     axes = principal_axes(classes, dim)
@@ -262,5 +273,4 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     known = known.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "c").alias("p"))
     low = known.groupBy("p").agg(F.min("vec_id").alias("component_id"))
     linked = known.join(low, "p").select("vec_id", "n_links", "component_id")
-    alone = table.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return linked.unionByName(_alone(table.where("not ok")))

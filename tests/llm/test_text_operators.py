@@ -417,6 +417,13 @@ def test_near_vectors(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_each_length_are_linked(spark):
+    rows = [(i, [1.0, 0.01 * i]) for i in range(3)] + [(10 + i, [1.0, 0.0, 0.01 * i]) for i in range(5)] + [(20, [0.0, 1.0]), (21, [7.0]), (22, [9.0])]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = [(i, 2, 0) for i in range(3)] + [(10 + i, 4, 10) for i in range(5)] + [(20, 0, 20), (21, 1, 21), (22, 1, 21)]
+    assert sorted(tuple(r) for r in got.select("vec_id", "n_links", "component_id").collect()) == want
+
+
 def test_interval_join_skips_nothing(monkeypatch):
     monkeypatch.setattr(vector_dedup, "LEAF", 8)
     r = np.random.default_rng(1)
