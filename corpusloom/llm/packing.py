@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
-from corpusloom.llm.tables import need, saved
+from corpusloom.llm.tables import need, released, saved
 
 CAPACITY = 2048
 NEARLY_FULL = 8
@@ -232,7 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     shorter last one; no other document is cut.
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    local = need(docs, "doc_id", "text").mapInArrow(_cut_and_pack(tokenizer_path, capacity, end_id), BIN)
+    local = need(docs, "doc_id", "text").mapInArrow(released(_cut_and_pack(tokenizer_path, capacity, end_id)), BIN)
     level, out = saved(local), []
     for r in range(2, 2 + ROUNDS):
         out.append(level.where("done"))

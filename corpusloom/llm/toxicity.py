@@ -309,7 +309,10 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> Network:
     y = np.array([r["toxic"] > 0 for r in got], bool)
     counts = {f: max(1, int((y == f).sum())) for f in (True, False)}
     weight = np.array([totals.get(bool(t), 0) / counts[bool(t)] for t in y])
-    return fit([r["text"] for r in got], y, weight)
+    net = fit([r["text"] for r in got], y, weight)
+    del got, rows
+    A.release()
+    return net
 
 
 def _score(net: Network):
