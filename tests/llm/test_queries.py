@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
 
 
