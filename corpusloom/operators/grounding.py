@@ -26,6 +26,11 @@ def _all(col: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)))
 
 
+def _whole_number(number: Column) -> Column:
+    """Pattern of a number that is no part of a longer one: 99.7 is not in 199.7, 3.99.7 or 99.71."""
+    return F.concat(F.lit(r"(?<![0-9])(?<![0-9]\.)"), F.replace(number, F.lit("."), F.lit(r"\.")), F.lit(r"(?!\.?[0-9])"))
+
+
 def claim_grounding(answers: DataFrame) -> DataFrame:
     """Claims of each answer that neither its context nor its question supports.
 
@@ -38,7 +43,7 @@ def claim_grounding(answers: DataFrame) -> DataFrame:
         lambda t: (t != "") & ~t.isin(GENERIC_NAME_WORDS))) >= 2)
     low = F.lower("answer")
     a = a.withColumns({
-        "bad_refs": F.filter(_all(low, CITED), lambda r: ~F.col("nev").contains(F.regexp_extract(r, r"([0-9.]+)$", 1))),
+        "bad_refs": F.filter(_all(low, CITED), lambda r: ~F.rlike("nev", _whole_number(F.regexp_extract(r, r"([0-9.]+)$", 1)))),
         "bad_numbers": F.array_except(_all(F.regexp_replace("answer", LIST_MARK, ""), NUMBER), _all(F.regexp_replace("ev", LIST_MARK, ""), NUMBER)),
         "bad_names": F.filter(names, lambda n: ~F.col("nev").contains(T.normalize_grounding(n))),
         "bad_acronyms": F.array_except(F.array_except(_all(F.col("answer"), ACRONYM), F.array(*[F.lit(x) for x in ("MISRA", "NOTE", "TODO")])), _all(F.col("ev"), ACRONYM)),
