@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vocab as V
 from corpusloom.operators import lexical as L
+from corpusloom.operators.products import plain_keys
 from corpusloom.operators.scale import fits, materialized, top_k_per, union_rows
 
 BLOCK = 128
@@ -25,6 +26,8 @@ BLOCK = 128
 SEED_BLOCKS = 6
 #: Sums of doubles in another order differ by less than this.
 SLACK = 1e-9
+#: Postings that all questions ask for together, up to which blocks are compared with bounds one by one.
+FEW_POSTINGS = 2_000_000
 
 
 class Layer(NamedTuple):
@@ -42,21 +45,25 @@ def _signed(forward: DataFrame, sign: int) -> DataFrame:
     return rows.groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df"), (F.sum(own) * sign).alias("n_tokens"))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of consecutive rows of one term, cut at ``BLOCK`` rows."""
-    for batch in batches:
-        n = len(batch)
-        if not n:
-            continue
-        term = batch.column(0).dictionary_encode().indices.to_numpy()
-        fresh = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-        within = np.arange(n) - np.repeat(fresh, np.diff(np.r_[fresh, n]))
-        at = np.flatnonzero(within % BLOCK == 0)
-        ends = pa.array(np.r_[at, n].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, batch.column(i)) for i in (1, 2, 3)]
-        tf, dl = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        cols = [batch.column(0).take(pa.array(at)), pa.array(np.maximum.reduceat(tf, at)), pa.array(np.minimum.reduceat(dl, at)), *lists]
-        yield pa.RecordBatch.from_arrays(cols, names=["term", "max_tf", "min_dl", "keys", "tfs", "dls"])
+def _packed(size: int):
+    """Blocks of consecutive rows of one term, cut at ``size`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            term = batch.column(0).dictionary_encode().indices.to_numpy()
+            fresh = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+            within = np.arange(n) - np.repeat(fresh, np.diff(np.r_[fresh, n]))
+            at = np.flatnonzero(within % size == 0)
+            ends = pa.array(np.r_[at, n].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, batch.column(i)) for i in (1, 2, 3)]
+            tf, dl = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            cols = [batch.column(0).take(pa.array(at)), pa.array(np.maximum.reduceat(tf, at)), pa.array(np.minimum.reduceat(dl, at)), *lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["term", "max_tf", "min_dl", "keys", "tfs", "dls"])
+
+    return run
 
 
 def posting_blocks(forward: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def posting_blocks(forward: DataFrame) -> DataFrame:
     rows = forward.select("chunk_key", "dl", F.explode("counts").alias("term", "tf")).select("term", "chunk_key", "tf", "dl")
     order = ["term", F.desc("tf"), "dl", "chunk_key"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.mapInArrow(_packed, f"term string, max_tf int, min_dl long, keys array<{kind}>, tfs array<int>, dls array<long>")
+    return rows.mapInArrow(_packed(BLOCK), f"term string, max_tf int, min_dl long, keys array<{kind}>, tfs array<int>, dls array<long>")
 
 
 def live_forward(layers: Sequence[Layer]) -> DataFrame:
@@ -133,15 +140,20 @@ def index_topk(layers: Sequence[Layer], queries: DataFrame, k: int = V.TOP_K) ->
 
     A block's bound for a question is its best possible share plus the best shares of the question's other terms.  The chunks of
     a few best blocks are scored first; only blocks whose bound reaches the k-th of those scores can hold another result, and only
-    their chunks are scored, from the forward rows.  Nothing is approximate.
+    their chunks are scored, from the forward rows.  Nothing is approximate.  Where the questions ask for more than ``FEW_POSTINGS``
+    postings, bounds of many terms skip little: all forward rows are then multiplied with the questions, tile by tile.
     """
     vocab = materialized(vocabulary(layers))
     total = vocab.where(F.col("term") == L._CORPUS).first()
     if total is None or not total["n_tokens"]:
         return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, chunk_key {dict(layers[0].forward.dtypes)['chunk_key']}, score double, rank int")
     mean = F.lit(total["n_tokens"] / total["df"])
-    terms = L.query_terms(queries).join(L.term_stats(vocab), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
-    terms = materialized(terms)
+    terms = L.query_terms(queries).join(L.term_stats(vocab), "term")
+    terms = materialized(terms.select("query_id", "term", "df", (F.col("qf") * F.col("idf")).alias("w")))
+    live = live_forward(layers).drop("layer")
+    if (terms.agg(F.sum("df")).first()[0] or 0) > FEW_POSTINGS and plain_keys(live):
+        return L.ranked_counts(live, queries, vocab, k)
+    terms = terms.drop("df")
     small = fits(terms)
     near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     heads = union_rows([x.postings for x in layers])
@@ -153,7 +165,7 @@ def index_topk(layers: Sequence[Layer], queries: DataFrame, k: int = V.TOP_K) ->
     terms = materialized(terms.join(share, ["query_id", "term"]).join(sums, "query_id").select("query_id", "term", "w", (F.col("all") - F.col("most")).alias("rest")))
     asked = heads.join(near(terms), "term").withColumn("bound", best + F.col("rest"))
     seeds = top_k_per(asked.select("query_id", "bound", "keys"), ["query_id"], [F.desc("bound")], SEED_BLOCKS, "r")
-    forward = live_forward(layers).drop("layer")
+    forward = live
     words = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("words"))
     words = materialized(words)
 

@@ -78,3 +78,14 @@ def test_empty_index_and_queries(spark):
     assert IX.index_topk([one], q.limit(0)).collect() == []
     emptied = [one, IX.next_layer([one], none, spark.createDataFrame([(1,)], "chunk_key long"))]
     assert IX.index_topk(emptied, q).collect() == [] and IX.live_forward(emptied).count() == 0
+
+
+def test_many_postings_are_multiplied_with_the_same_result(spark, corpus, monkeypatch):
+    layer = IX.first_layer(spark.createDataFrame(corpus, SCHEMA))
+    changed = [layer, IX.next_layer([layer], spark.createDataFrame([(3, "w0 w5 fresh")], SCHEMA), spark.createDataFrame([(4,)], "chunk_key long"))]
+    q = spark.createDataFrame([(1, "w0 w1 w1 w7"), (2, "w59 fresh"), (3, "nothing"), (4, None)], "query_id long, query string")
+    cols = ("query_id", "chunk_key", "score", "rank")
+    few = rows(IX.index_topk(changed, q, 5), *cols)
+    monkeypatch.setattr(IX, "FEW_POSTINGS", 0)
+    monkeypatch.setattr(IX, "top_k_per", lambda *a: pytest.fail("blocks were compared"))
+    assert rows(IX.index_topk(changed, q, 5), *cols) == few and few
