@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vocab as V
-from corpusloom.operators.scale import block_row_number, block_scan, computed_once, top_k_per, two_level_count
+from corpusloom.operators.scale import block_row_number, block_scan, bounded_batches, computed_once, top_k_per, two_level_count
 
 # Heading patterns and terms.
 RULE_HEADING = r"(?i)^\s*Rule\s+([0-9]+(?:\.[0-9]+)*)(?:\s*[-:–—]\s*.*)?\s*$"
@@ -232,7 +232,7 @@ def window_chunks(df: DataFrame, text: str = "text", size: int = V.CHUNK_SIZE, o
 
         return texts.map(one, na_action="ignore")
 
-    d = df.withColumn("__c", cut(T.squash(F.col(text))))
+    d = bounded_batches(df).withColumn("__c", cut(T.squash(F.col(text))))
     d = d.withColumn("parts", F.size("__c").cast("bigint"))
     d = d.select(*[c for c in d.columns if c != "__c"], F.posexplode("__c").alias("part", "chunk_text"))
     return d.withColumn("part", F.col("part").cast("bigint"))

@@ -39,3 +39,14 @@ def test_salted_join_is_exact(spark):
     a = sorted(map(tuple, salted_join(d, lookup, ["k"], ["pos"]).select("k", "pos", "x").collect()))
     b = sorted(map(tuple, d.join(lookup, "k").select("k", "pos", "x").collect()))
     assert a == b
+
+
+def test_windows_are_cut_in_bounded_batches(spark):
+    from corpusloom.operators import scale, structure
+
+    conf = spark.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = spark.createDataFrame([(i, "One two. Three four.") for i in range(10)], "doc_id long, text string")
+    assert structure.window_chunks(df).count() == 10
+    assert int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == scale.BATCH_ROWS
+    assert int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == scale.BATCH_BYTES
