@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vocab as V
-from corpusloom.operators.scale import block_row_number, block_scan, bounded_batches, computed_once, top_k_per, two_level_count
+from corpusloom.operators.scale import block_row_number, block_scan, bounded_batches, computed_once, materialized, top_k_per, two_level_count
 
 # Heading patterns and terms.
 RULE_HEADING = r"(?i)^\s*Rule\s+([0-9]+(?:\.[0-9]+)*)(?:\s*[-:–—]\s*.*)?\s*$"
@@ -90,7 +90,7 @@ def classify_heading(text: Column, font: Column, bold: Column, body: Column) ->
 
 def headings(lines: DataFrame) -> DataFrame:
     """Content lines with a ``heading`` struct."""
-    content = drop_decorations(lines)
+    content = materialized(drop_decorations(lines))  # sizes and headings read it
     sizes = body_font_size(content)
     l = content.join(sizes, "doc_key")
     return l.withColumn("heading", classify_heading(F.col("text"), F.col("font"), F.col("bold"), F.col("body_size")))

@@ -50,3 +50,15 @@ def test_windows_are_cut_in_bounded_batches(spark):
     assert structure.window_chunks(df).count() == 10
     assert int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == scale.BATCH_ROWS
     assert int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == scale.BATCH_BYTES
+
+
+def test_content_lines_are_made_once(spark, monkeypatch):
+    from corpusloom.operators import structure
+
+    kept, plain = [], structure.materialized
+    monkeypatch.setattr(structure, "materialized", lambda df: kept.append(1) or plain(df))
+    lines = spark.createDataFrame([("d", 1, "Rule 1.1", 1, 15.0, 17.0, 100.0, 14.0, False), ("d", 2, "some text of it", 1, 50.0, 52.0, 100.0, 10.0, False)],
+                                  "doc_key string, line_no long, text string, page long, y0 double, y1 double, page_height double, font double, bold boolean")
+    got = structure.sections(lines).collect()
+    assert [(r.section_type, r.rule_id, r.text) for r in got] == [("rule", "1.1", "Rule 1.1\nsome text of it")]
+    assert kept == [1]
