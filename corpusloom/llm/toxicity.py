@@ -27,7 +27,7 @@ VOCABULARY = 20_000
 TRIGRAMS = 4096
 WORD_DIM, CHAR_DIM, STATE = 12, 8, 8
 ROUNDS = 6
-PIECE = 1 << 20
+PIECE = 1 << 18
 WORDS = A.byte_class("alnum")
 
 
