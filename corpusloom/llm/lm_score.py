@@ -56,18 +56,40 @@ def symbols(data: np.ndarray, off: np.ndarray) -> Symbols:
     s, e, bounds = A.words(data, off, WORDS)
     n, docs = e - s, len(off) - 1
     before = np.r_[0, np.cumsum(n + 1)]
-    place = before[:-1] + A.row_of(bounds) * (DEPTH + 1) + DEPTH
-    out = np.full(int(before[-1]) + docs * (DEPTH + 1), END, np.uint8)
-    out[A.ranges(place, n)] = data[A.ranges(s, n)]
-    out[place + n] = BLANK
-    m = max(0, len(out) - DEPTH)
-    key = np.zeros(m, np.uint64)
-    for j in range(DEPTH + 1):
-        key = (key << np.uint64(8)) | out[j : m + j].astype(np.uint64)
-    # a document's symbols start DEPTH after its pads; keys of pads are not looked at
+    # a document's symbols start DEPTH after its pads; keys of pads are left out
     first = before[bounds[:-1]] + np.arange(docs) * (DEPTH + 1)
     size = before[bounds[1:]] - before[bounds[:-1]] + 1
-    return Symbols(key[A.ranges(first, size)], np.r_[0, np.cumsum(size)], A.word_hash(data, s, e), bounds, np.r_[0, np.cumsum(np.insert(n + 1, bounds[1:], 1))[:-1]])
+    whole = int(before[-1]) + docs * (DEPTH + 1)
+    blanks = before[:-1] + A.row_of(bounds) * (DEPTH + 1) + DEPTH + n
+    out, letter = np.full(whole + 8, END, np.uint8), np.ones(whole, bool)
+    letter[blanks] = letter[first + size - 1 + DEPTH] = letter[np.add.outer(first, np.arange(DEPTH))] = False
+    out[:whole][letter] = data[WORDS[data]]
+    out[blanks] = BLANK
+    m = max(0, whole - DEPTH)
+    # eight bytes at every place, of which the first DEPTH + 1 are the key
+    key = np.ndarray(m, ">u8", out, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (7 - DEPTH))
+    own = np.ones(m, bool)
+    own[np.add.outer((first + size)[:-1], np.arange(DEPTH))] = False
+    return Symbols(key[own], np.r_[0, np.cumsum(size)], A.word_hash(data, s, e), bounds, np.r_[0, np.cumsum(np.insert(n + 1, bounds[1:], 1))[:-1]])
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in ascending order, by sorting."""
+    k = np.sort(keys)
+    return k[np.r_[True, k[1:] != k[:-1]]] if len(k) else k
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
+    """Values of grams that the table has: 2**16 are sorted at a time, with their places in the bits that a gram leaves free."""
+    out = np.empty(len(grams))
+    for a in range(0, len(grams), 1 << 16):
+        part = grams[a : a + (1 << 16)]
+        part = np.sort(part << np.uint64(16) | np.arange(len(part), dtype=np.uint64))
+        place, key = (part & np.uint64(0xFFFF)).astype(np.int64), part >> np.uint64(16)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        value = table[1][np.searchsorted(table[0], key[first].view(np.int64))]
+        out[a + place] = np.repeat(value, np.diff(np.r_[first, len(key)]))
+    return out
 
 
 class _Counter:
@@ -263,7 +285,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def closed():
         for kind, keys in enumerate(held):
-            k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            k = _distinct(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
             for a in range(0, len(k), 100_000):
                 part = k[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays(
@@ -277,8 +299,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, held = shard, ([np.array([END_WORD])], [])
         for _, _, data, cut in A.pieces(*A.text_bytes(part.column(2))):
             x = symbols(data, cut)
-            held[0].append(np.unique(x.words.view(np.int64)))
-            held[1].append(np.unique(x.grams.view(np.int64)))
+            held[0].append(_distinct(x.words.view(np.int64)))
+            held[1].append(_distinct(x.grams.view(np.int64)))
     if now is not None:
         yield from closed()
 
@@ -306,11 +328,11 @@ def _scored(tokens: int, distinct: int):
 
     def scores(docs: pa.RecordBatch, words, grams) -> pa.RecordBatch:
         x = symbols(*A.text_bytes(docs.column(1)))
-        key, inverse = np.unique(x.grams.view(np.int64), return_inverse=True)
-        logs = grams[1][np.searchsorted(grams[0], key)][inverse.reshape(-1)] / _LN10
+        logs = _found(grams, x.grams) / _LN10
         # every document's words and then its end
         token = np.insert(x.words.view(np.int64), x.word_at[1:], END_WORD)
-        n = words[1][np.searchsorted(words[0], token)]
+        key, inverse = np.unique(token, return_inverse=True)
+        n = words[1][np.searchsorted(words[0], key)][inverse.reshape(-1)]
         first = x.word_at[:-1] + np.arange(docs.num_rows)
         mixed = _mixed(n / max(1, tokens), np.add.reduceat(logs, x.token_at))
         total = lambda v: np.add.reduceat(v, first)
