@@ -20,7 +20,7 @@ from corpusloom.llm import arrays as A
 from corpusloom.llm.tables import ROW, boxed, keyed, need, released, stable
 
 WINDOW = 10
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 SAMPLE = 8
 #: Benchmark rows sent to every task at once; a larger benchmark is searched block by block.
 BLOCK_ITEMS = 20_000
@@ -262,7 +262,8 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     docs = stable(docs)
     hits = find_benchmark(docs, benchmark, window).where("n_hit > 0").select(ROW, F.col("spans").alias("__spans"))
     left = boxed(docs).join(hits, ROW, "left")
-    cut = F.udf(_cut, "string")
+    # otherwise the filter below would be evaluated with a second run of the function, in workers of its own
+    cut = F.udf(_cut, "string").asNondeterministic()
     text = F.when(F.col("__spans").isNotNull(), F.col("__doc.text"))
     left = left.withColumn("__cut", cut(text, "__spans")).where("__spans is null or __cut is not null")
     return left.select(F.col("__doc").withField("text", F.coalesce("__cut", "__doc.text")).alias("__doc")).select("__doc.*")

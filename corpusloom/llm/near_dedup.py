@@ -33,7 +33,7 @@ KEYS_SENT = 2_000_000
 #: Rows of a bucket or family that meet in one task.
 BLOCK = 2048
 WORDS = A.byte_class("space")
-PIECE = 1 << 20
+PIECE = 1 << 18
 _PLACE = A.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _STEP = A.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64(0xFFFFFFFF)

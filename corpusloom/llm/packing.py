@@ -242,7 +242,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             break
         # Groups are dealt by a hash of the bin's number, so they are alike and stay bounded.
         dealt = rest.repartition(groups, F.xxhash64("bin")).sortWithinPartitions("bin").select("fill", "items")
-        level = saved(dealt.mapInArrow(_merge(capacity, r, last=r == 1 + ROUNDS or groups == 1), BIN))
+        level = saved(dealt.mapInArrow(released(_merge(capacity, r, last=r == 1 + ROUNDS or groups == 1)), BIN))
     else:
         out.append(level)
     bins = out[0]

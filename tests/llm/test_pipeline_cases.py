@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpusloom.llm import decontaminate
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
@@ -53,3 +54,11 @@ def test_stages_on_empty_tables(spark, odd_documents, tmp_path):
     empty = spark.read.parquet(f"{odd_documents}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, odd_documents).count() == 0, name
+
+
+def test_hit_texts_are_cut_once(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a b {passage} c"), (2, "clean text"), (3, passage), (4, None)], "doc_id long, text string")
+    left = decontaminate.remove_benchmark(docs, spark.createDataFrame([("x", passage)], "item_id string, text string"))
+    assert sorted(map(tuple, left.collect())) == [(1, "a b  c"), (2, "clean text"), (4, None)]
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("BatchEvalPython") == 1
