@@ -34,10 +34,10 @@ def _whole_number(number: Column) -> Column:
 def claim_grounding(answers: DataFrame) -> DataFrame:
     """Claims of each answer that neither its context nor its question supports.
 
-    ``answers(answer_id, question, context, answer)``; adds one list per claim kind and ``ok``.
+    ``answers(answer_id, question, context, answer)``; adds one list per claim kind and ``ok``.  A null text supports and claims nothing.
     """
-    ev = F.concat(F.col("context"), F.lit("\n"), F.col("question"))
-    a = answers.withColumns({"ev": ev, "nev": T.normalize_grounding(ev)})
+    ev = F.concat(F.coalesce("context", F.lit("")), F.lit("\n"), F.coalesce("question", F.lit("")))
+    a = answers.withColumn("answer", F.coalesce("answer", F.lit(""))).withColumns({"ev": ev, "nev": T.normalize_grounding(ev)})
     names = F.filter(_all(F.col("answer"), PROPER_NAME), lambda n: F.size(F.filter(
         F.transform(F.split(F.lower(n), r"\s+"), lambda t: F.regexp_replace(t, r"^[.,:;()\[\]{}]+|[.,:;()\[\]{}]+$", "")),
         lambda t: (t != "") & ~t.isin(GENERIC_NAME_WORDS))) >= 2)

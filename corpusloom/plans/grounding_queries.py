@@ -24,7 +24,7 @@ def answers(spark, sf):
     extra = F.when(F.col("lang") == "en", " Acme Global Holdings paid 4711 days to XQZK under Rule 99.7.").otherwise("")
     return X.table(spark, sf, "documents").select(
         F.col("doc_id").alias("answer_id"), F.lit("what does rule 3.2 say").alias("question"), F.col("text").alias("context"),
-        F.concat(GR.sentences(F.col("text"))[0], extra).alias("answer"))
+        F.concat(F.coalesce(F.get(GR.sentences(F.col("text")), F.lit(0)), F.lit("")), extra).alias("answer"))
 
 
 @query(
