@@ -70,3 +70,10 @@ def test_pair_marks(spark):
     nt = "alpha beta " + "x " * 500 + "gamma delta"
     d = spark.createDataFrame([("alpha gamma zeta al of", "gamma zeta", nt), ("", "", ""), ("alpha beta x", "alpha", nt)], "q string, w string, t string")
     assert [tuple(r[0]) for r in d.select(W.pair_marks(F.col("q"), F.col("w"), F.col("t"))).collect()] == [(0.33, 1, 1, False), (0.0, 0, 0, False), (0.5, 1, 2, True)]
+
+
+def test_a_question_is_normalised_once(spark):
+    q = spark.createDataFrame([(1, "Who approves the leave of staff?"), (2, "who is Ada Byron"), (3, None)], "query_id long, query string")
+    d = G.with_target(q)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("lower(query#") <= 3
+    assert {r.query_id: (r.kind, r.is_identity, r.target) for r in d.collect()} == {1: ("approver", False, ["leave", "staff"]), 2: ("", True, ["ada", "byron"]), 3: ("", False, [])}
